@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from hearsay.llm import simhash
+from hearsay.llm import decontaminate, simhash
 
-QUERIES = {"op2_simhash_neardup": simhash.query}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_simhash_neardup": simhash.query,
+    "op4_winnowing_decontamination": decontaminate.query,
+}
+ORACLES: dict[str, str] = {"op4_winnowing_decontamination": decontaminate.ORACLE}
