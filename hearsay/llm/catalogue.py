@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from hearsay.llm import decontaminate, simhash
+from hearsay.llm import decontaminate, packing, private, quality, simhash
 
 QUERIES = {
+    "op1_neighbour_quality": quality.query,
     "op2_simhash_neardup": simhash.query,
     "op4_winnowing_decontamination": decontaminate.query,
+    "op6_private_spans": private.query,
+    "op8_certified_packing": packing.query,
 }
 ORACLES: dict[str, str] = {"op4_winnowing_decontamination": decontaminate.ORACLE}
