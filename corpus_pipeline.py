@@ -1,4 +1,61 @@
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of
+``documents``, but for the last, which returns the places of the documents' pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hearsay.llm import decontaminate, packing, private, quality, simhash
+from hearsay.llm.common import table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs).select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind; n_chars follows."""
+    return private.redacted(docs).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' pieces in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, keep_ids=False)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("simhash near-dedup", keep_one_of_each),
+    ("benchmark decontamination", drop_contaminated),
+    ("personal data", hide_private),
+    ("best-fit packing", pack),
+]
+
+#: Hashing, the classifiers and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs, _ = written(docs, f"stage{k}")
+    return docs
