@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hearsay.llm import chat, decontaminate, packing, private, quality, simhash, topk, urls, warc
+from hearsay.llm import chat, decontaminate, packing, private, quality, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op1_neighbour_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_winnowing_decontamination": decontaminate.query,
     "op5_kdtree_topk": topk.query,
     "op6_private_spans": private.query,
+    "op7_secret_forest": secrets.query,
     "op8_certified_packing": packing.query,
     "op9_chat_formatting": chat.query,
     "op10_url_filter": urls.query,

@@ -1,0 +1,42 @@
+import re
+
+import numpy as np
+
+from hearsay.llm import secrets
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy():
+    x, y = secrets.made_findings(3000, seed=9)
+    forest = secrets.Forest(*secrets.made_findings())
+    s = forest.scores(x)
+    assert np.mean((s >= secrets.THRESHOLD) == y) > 0.95
+
+
+def test_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    found = {(r.doc_id, r.start, r.end): r.is_secret for r in secrets.query(spark, DATA).collect()}
+    planted = {(d.doc_id, *m.span(1)) for d in docs for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', d.text)}
+    assert planted and planted <= found.keys() and all(found[p] for p in planted)
+    assert sum(found.values()) < len(planted) + 0.05 * len(docs)
+    assert found.keys() == {(d.doc_id, a, b) for d in docs for a, b in secrets.candidates(d.text)}
+
+
+def test_edge_cases(spark):
+    key = 'token = "f95017526fc608ad71587f8ea5418b66ff2e6d38"'
+    rows = [(1, None, None), (2, "", "s"), (None, key, None), (3, key, "tests"), (3, key, "tests"), (4, "a1" * 300_000, "s"), (5, "password: 'hunter2!x'", "s"), (6, "plain words only", "s")]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, score double")
+    found = secrets.find_secrets(docs).collect()
+    assert sorted(str(r.doc_id) for r in found) == ["3", "3", "4", "5", "None"]
+    assert all(r.is_secret for r in found if r.doc_id is None)  # a path of tests speaks against the others
+    assert secrets.find_secrets(docs.where("false")).count() == 0
+
+
+def test_given_findings_train(spark):
+    rows = [(f"commit {k:040x} done", 7, 47, "p", 0) for k in range(3**20, 3**20 + 60)] + [(f"token = {k:040x} done", 8, 48, "p", 1) for k in range(5**20, 5**20 + 60)] + [(None, 0, 1, "p", 1), ("short", 0, 99, None, 1), ("x", 0, 1, None, 7)]
+    forest = secrets.train(spark.createDataFrame(rows, "text string, start int, end int, path string, label int"))
+    t = "token = " + "0123456789abcdef0123456789abcdef01234567"
+    assert forest.scores(np.array([secrets.view(t, 8, 48, "p"), secrets.view("commit" + t[7:], 7, 47, "p")])).round().tolist() == [1, 0]
+    none = secrets.train(spark.createDataFrame([], "text string, start int, end int, path string, label int"))
+    assert none.scores(np.zeros((2, len(secrets.FEATURES)))).tolist() == [0.5, 0.5]
