@@ -1 +1,150 @@
+"""Column functions: every encoder, comparison and option; and their registration for SQL.
 
+Null gives null. Encoders that Catalyst's expressions can say are such expressions; the others run in Arrow
+batches and encode each distinct value of a batch once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from hearsay.kernels import daitch_mokotoff as _dm
+from hearsay.kernels import match_rating as _mra
+from hearsay.kernels.beider_morse import BeiderMorse
+from hearsay.kernels.double_metaphone import double_metaphone as _double_metaphone
+from hearsay.kernels.metaphone import metaphone as _metaphone
+from hearsay.kernels.nysiis import nysiis as _nysiis
+from hearsay.kernels.phonex import phonex as _phonex
+from hearsay.native.caverphone import caverphone1, caverphone2
+from hearsay.native.cologne import cologne
+from hearsay.native.match_rating import match_rating
+from hearsay.native.soundex import ENGLISH, GENEALOGY, REFINED, SIMPLIFIED, agreement, refined_soundex, refined_soundex_difference, soundex, soundex_difference
+from hearsay.native.text import column, trimmed
+
+__all__ = [
+    "ENGLISH", "GENEALOGY", "REFINED", "SIMPLIFIED", "Encoder", "agreement", "beider_morse", "beider_morse_languages", "caverphone1", "caverphone2", "cologne",
+    "daitch_mokotoff", "daitch_mokotoff_codes", "daitch_mokotoff_soundex", "double_metaphone", "double_metaphone_equal", "encoded", "encoded_equal", "match_rating",
+    "match_rating_equal", "metaphone", "nysiis", "phonex", "refined_soundex", "refined_soundex_difference", "register", "register_all", "soundex", "soundex_difference",
+]
+
+
+class Encoder(Protocol):
+    """Anything with ``encode``, also one of a user's own."""
+
+    def encode(self, word: str) -> str | None: ...
+
+
+def _batched(function: Callable[[str], object], kind: str, arrow: pa.DataType):
+    """An Arrow function that calls ``function`` once for each distinct value of a batch."""
+
+    @F.arrow_udf(kind)
+    def run(words: pa.Array) -> pa.Array:
+        coded = (words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
+        codes = pa.array([function(w) for w in coded.dictionary.to_pylist()], arrow)
+        return codes.take(coded.indices)
+
+    return run
+
+
+def encoded(c: Column | str, encoder: Encoder) -> Column:
+    """Codes of any encoder object, which must be picklable."""
+    return _batched(encoder.encode, "string", pa.string())(column(c))
+
+
+def nysiis(c: Column | str, strict: bool = True) -> Column:
+    return _batched(lambda w: _nysiis(w, strict), "string", pa.string())(column(c))
+
+
+def phonex(c: Column | str, max_length: int = 4) -> Column:
+    return _batched(lambda w: _phonex(w, max_length), "string", pa.string())(column(c))
+
+
+def metaphone(c: Column | str, max_length: int | None = 4) -> Column:
+    return _batched(lambda w: _metaphone(w, max_length), "string", pa.string())(column(c))
+
+
+def double_metaphone(c: Column | str, max_length: int | None = 4) -> Column:
+    """Struct of primary and alternate."""
+    kind = pa.struct([("primary", pa.string()), ("alternate", pa.string())])
+    return _batched(lambda w: dict(zip(("primary", "alternate"), _double_metaphone(w, max_length))), "primary string, alternate string", kind)(column(c))
+
+
+def double_metaphone_equal(a: Column | str, b: Column | str, alternate: bool = False, max_length: int | None = 4) -> Column:
+    """Primary codes, or alternate ones, are compared with their like."""
+    name = "alternate" if alternate else "primary"
+    return double_metaphone(a, max_length)[name] == double_metaphone(b, max_length)[name]
+
+
+def daitch_mokotoff_codes(c: Column | str, branching: bool = True, rules: _dm.DaitchMokotoff | None = None) -> Column:
+    """Array of codes. rules: of one's own, else those of the package, with folding."""
+    return _batched(lambda w: (rules or _dm.built_in()).codes(w, branching), "array<string>", pa.list_(pa.string()))(column(c))
+
+
+def daitch_mokotoff_soundex(c: Column | str, rules: _dm.DaitchMokotoff | None = None) -> Column:
+    """All codes, parted by |."""
+    return F.array_join(daitch_mokotoff_codes(c, True, rules), "|")
+
+
+def daitch_mokotoff(c: Column | str, rules: _dm.DaitchMokotoff | None = None) -> Column:
+    """The first code, without branching."""
+    return daitch_mokotoff_codes(c, False, rules)[0]
+
+
+def beider_morse(c: Column | str, engine: BeiderMorse, languages=None) -> Column:
+    """Codes; languages: a set given from outside, else they are guessed for each name."""
+    if languages is None:
+        return encoded(c, engine)
+    chosen = engine.checked(languages)
+    return _batched(lambda w: engine.encode_for(w, chosen), "string", pa.string())(column(c))
+
+
+def beider_morse_languages(c: Column | str, engine: BeiderMorse) -> Column:
+    """Sorted array of the languages a name may be of; null: any."""
+    return _batched(lambda w: (found := engine.guess(w)) and sorted(found), "array<string>", pa.list_(pa.string()))(column(c))
+
+
+def encoded_equal(a: Column | str, b: Column | str, encode: Callable[[Column], Column]) -> Column:
+    """Whether two texts have one code under ``encode``; empty codes are equal."""
+    return encode(column(a)) == encode(column(b))
+
+
+def match_rating_equal(a: Column | str, b: Column | str) -> Column:
+    """Match Rating comparison: not for blank texts or single bytes; equal texts; else by the codes' rating."""
+    x, y = column(a), column(b)
+
+    @F.arrow_udf("boolean")
+    def rated(p: pa.Array, q: pa.Array) -> pa.Array:
+        seen: dict[tuple, bool] = {}
+        pairs = list(zip(p.to_pylist(), q.to_pylist()))
+        for pair in pairs:
+            if pair not in seen:
+                seen[pair] = _mra.codes_match(*pair) if None not in pair else None
+        return pa.array([seen[pair] for pair in pairs], pa.bool_())
+
+    return F.when(x.isNull() | y.isNull(), F.lit(None)).when(F.least(F.octet_length(trimmed(x)), F.octet_length(trimmed(y))) < 2, F.lit(False)).when(x == y, F.lit(True)).otherwise(rated(match_rating(x), match_rating(y)))
+
+
+def register(spark: SparkSession, name: str, encoder: Encoder) -> None:
+    """A user's encoder as a SQL function."""
+    spark.udf.register(name, _batched(encoder.encode, "string", pa.string()))
+
+
+def register_all(spark: SparkSession, prefix: str = "phonetic_") -> list[str]:
+    """The encoders that run in Arrow batches, with default options, as SQL functions; the names."""
+    made = {
+        "nysiis": _batched(_nysiis, "string", pa.string()),
+        "phonex": _batched(_phonex, "string", pa.string()),
+        "metaphone": _batched(_metaphone, "string", pa.string()),
+        "daitch_mokotoff": _batched(lambda w: _dm.built_in().encode(w), "string", pa.string()),
+        "daitch_mokotoff_soundex": _batched(lambda w: _dm.built_in().soundex(w), "string", pa.string()),
+        "double_metaphone": _batched(lambda w: _double_metaphone(w)[0], "string", pa.string()),
+        "double_metaphone_alternate": _batched(lambda w: _double_metaphone(w)[1], "string", pa.string()),
+    }
+    for name, function in made.items():
+        spark.udf.register(prefix + name, function)
+    return [prefix + n for n in made]

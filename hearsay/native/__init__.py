@@ -1 +1 @@
-
+"""Encoders as Catalyst expressions."""

@@ -1 +1 @@
-
+"""Operators on DataFrames that encoders lead to."""

@@ -1,17 +1,216 @@
-"""Registered queries over the driver's tables and their DuckDB equivalents."""
+"""Registered queries over the driver's tables and their DuckDB equivalents.
+
+Words are counted before they are encoded: the encoders see each distinct word of a table once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearsay import functions as H
+from hearsay.kernels.beider_morse import BeiderMorse, NameType, RuleSet, RuleType
+from hearsay.native import caverphone, match_rating
+from hearsay.operators import codes as ops
+from hearsay.plans import small_rules
+
+
+def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every part name."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
+
+
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, n): runs of ASCII letters in all documents, in upper case, with their number."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word"))
+    return texts.where("word <> ''").groupBy(F.upper("word").alias("word")).agg(F.count("*").alias("n"))
+
+
+def _by_code(encode):
+    """Number of words and of distinct words by their code, over all documents."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        coded = document_words(spark, sf_dir).select(encode(F.col("word")).alias("code"), "n")
+        return coded.groupBy("code").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_words"))
+
+    return query
+
 
 def soundex_part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of part names grouped by their Soundex code."""
-    words = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
-    clean = F.regexp_replace(F.upper("word"), "[^A-Z]", "")
-    return words.groupBy(F.soundex(clean).alias("code")).agg(F.count("*").alias("n_words"))
+    return ops.group_by_code(part_words(spark, sf_dir), "word", H.soundex).select("code", F.col("n_rows").alias("n_words"))
+
+
+def soundex_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part words under each Soundex mapping."""
+    words = part_words(spark, sf_dir).distinct()
+    return words.select("word", H.soundex("word").alias("american"), H.soundex("word", H.GENEALOGY).alias("genealogy"), H.soundex("word", H.SIMPLIFIED, False).alias("simplified"))
+
+
+def soundex_difference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part words and market segments whose Soundex codes agree at two places or more."""
+    segments = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment")
+    return ops.difference_join(part_words(spark, sf_dir), segments, "word", "c_mktsegment", 2)
+
+
+def refined_difference_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many places of the Refined Soundex codes of a part word and its name's last word agree."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.split("p_name", " ").alias("w")).distinct()
+    return names.select(F.col("w")[0].alias("first_word"), F.element_at("w", -1).alias("last_word")).withColumn("difference", H.refined_soundex_difference("first_word", "last_word"))
+
+
+def phonetic_join_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part words with the words of documents of the same Soundex code."""
+    words = part_words(spark, sf_dir).distinct()
+    return ops.code_join(words, document_words(spark, sf_dir).withColumnRenamed("word", "document_word"), "word", "document_word", H.soundex).select("word", "document_word", "n")
+
+
+def double_metaphone_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents by primary and alternate code."""
+    coded = document_words(spark, sf_dir).withColumn("codes", H.double_metaphone("word").alias("codes"))
+    return coded.groupBy("codes.primary", "codes.alternate").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_words"))
+
+
+def dm_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents by each of their Daitch-Mokotoff codes."""
+    coded = document_words(spark, sf_dir).withColumn("codes", H.daitch_mokotoff_codes("word"))
+    return ops.explode_codes(coded, F.col("codes")).groupBy("code").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_words"))
+
+
+def dm_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part words and words of documents that share a Daitch-Mokotoff code."""
+    return ops.overlap_join(part_words(spark, sf_dir), document_words(spark, sf_dir), "word", "word", H.daitch_mokotoff_codes)
+
+
+def mra_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part words and market segments that match by rating."""
+    segments = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment")
+    return ops.match_rating_join(part_words(spark, sf_dir), segments, "word", "c_mktsegment")
+
+
+def _engine(**more) -> BeiderMorse:
+    return BeiderMorse(RuleSet.parse(small_rules.FILES), **more)
+
+
+def bm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part words under the small rules of this package, by guessed and given languages, approximate and exact."""
+    words, approx, exact = part_words(spark, sf_dir).distinct(), _engine(), _engine(rule_type=RuleType.EXACT, name_type=NameType.GENERIC, max_phonemes=10)
+    return words.select("word", H.beider_morse("word", approx).alias("approx"), H.beider_morse("word", exact).alias("exact"), H.beider_morse("word", exact, ["german"]).alias("german"))
+
+
+def bm_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages that part words may be of."""
+    return part_words(spark, sf_dir).distinct().select("word", F.array_join(H.beider_morse_languages("word", _engine()), "+").alias("languages"))
+
+
+def _by_strict(c: Column) -> Column:
+    return H.nysiis(c)
+
+
+QUERIES = {
+    "soundex_part_words": soundex_part_words,
+    "soundex_variants": soundex_variants,
+    "soundex_words": _by_code(H.soundex),
+    "refined_soundex_words": _by_code(H.refined_soundex),
+    "caverphone1_words": _by_code(H.caverphone1),
+    "caverphone2_words": _by_code(H.caverphone2),
+    "cologne_words": _by_code(H.cologne),
+    "mra_encode_words": _by_code(H.match_rating),
+    "nysiis_words": _by_code(_by_strict),
+    "nysiis_full_words": _by_code(lambda c: H.nysiis(c, strict=False)),
+    "phonex_words": _by_code(H.phonex),
+    "metaphone_words": _by_code(H.metaphone),
+    "double_metaphone_words": double_metaphone_words,
+    "dm_words": _by_code(H.daitch_mokotoff),
+    "dm_alternatives": dm_alternatives,
+    "soundex_difference_pairs": soundex_difference_pairs,
+    "refined_difference_words": refined_difference_words,
+    "phonetic_join_soundex": phonetic_join_soundex,
+    "dm_overlap_join": dm_overlap_join,
+    "mra_match_pairs": mra_match_pairs,
+    "bm_words": bm_words,
+    "bm_languages": bm_languages,
+}
+
+# DuckDB has no back-references in patterns, so runs of each code are collapsed one after another.
+_WORDS = """w AS (SELECT upper(x) AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS x FROM documents) WHERE x <> '' GROUP BY 1)"""
+_PARTS = """p AS (SELECT unnest(string_split(p_name, ' ')) AS word FROM part)"""
+_ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _runs(sql: str, signs: str = "0123456789") -> str:
+    for s in signs:
+        sql = f"regexp_replace({sql}, '{s}+', '{s}', 'g')"
+    return sql
+
+
+def _steps(sql: str, steps) -> str:
+    for pattern, to in steps:
+        sql = f"regexp_replace({sql}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return sql
+
+
+def _soundex_sql(word: str, codes: str = H.ENGLISH, hidden: str = "HW") -> str:
+    word = f"upper({word})"
+    coded = "".join(c for c in codes if c != "-")
+    spoken = "".join(x for x, c in zip(_ABC, codes) if c != "-")
+    dropped = hidden + "".join(x for x, c in zip(_ABC, codes) if c == "-")
+    head = f"translate(substr({word}, 1, 1), '{_ABC}', '{codes}')"
+    tail = f"translate(regexp_replace(substr({word}, 2), '[{dropped or '#'}]', '', 'g'), '{spoken}', '{coded}')"
+    digits = f"replace(substr({_runs(f'{head} || {tail}')}, 2), '0', '')"
+    return f"rpad(substr({word}, 1, 1) || substr({digits}, 1, 3), 4, '0')"
+
+
+def _refined_sql(word: str) -> str:
+    coded = f"translate(upper({word}), '{_ABC}', '{H.REFINED}')"
+    return f"substr(upper({word}), 1, 1) || {_runs(coded)}"
+
+
+def _caverphone_sql(steps, length: int) -> str:
+    return f"substr({_steps('lower(word)', steps)} || '{'1' * length}', 1, {length})"
+
+
+def _mra_sql(word: str) -> str:
+    said = f"substr(upper({word}), 1, 1) || regexp_replace(substr(upper({word}), 2), '[AEIOU]', '', 'g')"
+    for x in match_rating.CONSONANTS:
+        said = f"replace({said}, '{x}{x}', '{x}')"
+    return f"CASE WHEN length({word}) < 2 THEN '' WHEN length({said}) > 6 THEN left({said}, 3) || right({said}, 3) ELSE {said} END"
+
+
+# Letter by letter, with the letters before and after.
+_COLOGNE = f"""
+WITH {_WORDS},
+s AS (SELECT word, n, list_transform(generate_series(1, length(word)), lambda i: {{'c': substr(word, i, 1), 'b': CASE WHEN i > 1 THEN substr(word, i - 1, 1) ELSE '' END, 'a': substr(word, i + 1, 1), 'new': regexp_full_match(left(word, i - 1), 'H*')}}) AS l FROM w),
+t AS (SELECT word, n, array_to_string(list_transform(l, lambda x: CASE
+  WHEN x.c IN ('A','E','I','J','O','U','Y') THEN '0' WHEN x.c = 'B' OR x.c = 'P' AND x.a <> 'H' THEN '1' WHEN x.c IN ('D','T') AND x.a NOT IN ('C','S','Z') THEN '2'
+  WHEN x.c IN ('F','P','V','W') THEN '3' WHEN x.c IN ('G','K','Q') THEN '4' WHEN x.c = 'X' AND x.b NOT IN ('C','K','Q') THEN '48' WHEN x.c IN ('S','Z') THEN '8'
+  WHEN x.c = 'C' AND x.new THEN CASE WHEN x.a IN ('A','H','K','L','O','Q','R','U','X') THEN '4' ELSE '8' END
+  WHEN x.c = 'C' THEN CASE WHEN x.b IN ('S','Z') OR x.a NOT IN ('A','H','K','O','Q','U','X') THEN '8' ELSE '4' END
+  WHEN x.c IN ('D','T','X') THEN '8' WHEN x.c = 'R' THEN '7' WHEN x.c = 'L' THEN '5' WHEN x.c IN ('M','N') THEN '6' ELSE '-' END), '') AS d FROM s),
+u AS (SELECT n, replace({_runs('d', '012345678')}, '-', '') AS d FROM t)
+SELECT left(d, 1) || replace(substr(d, 2), '0', '') AS code, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words FROM u GROUP BY 1
+"""
+
+
+def _by_code_sql(code: str) -> str:
+    return f"WITH {_WORDS} SELECT {code} AS code, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words FROM w GROUP BY 1"
+
 
+_AGREE = "CAST(len(list_filter(generate_series(1, least(length({a}), length({b}))), lambda i: substr({a}, i, 1) = substr({b}, i, 1))) AS INTEGER)"
 
-QUERIES = {"soundex_part_words": soundex_part_words}
-ORACLES = {}
+ORACLES = {
+    "soundex_part_words": f"WITH {_PARTS} SELECT {_soundex_sql('word')} AS code, count(*) AS n_words FROM p GROUP BY 1",
+    "soundex_variants": f"WITH {_PARTS} SELECT DISTINCT word, {_soundex_sql('word')} AS american, {_soundex_sql('word', H.GENEALOGY, '')} AS genealogy, {_soundex_sql('word', H.SIMPLIFIED, '')} AS simplified FROM p",
+    "soundex_words": _by_code_sql(_soundex_sql("word")),
+    "refined_soundex_words": _by_code_sql(_refined_sql("word")),
+    "caverphone1_words": _by_code_sql(_caverphone_sql(caverphone.FIRST, 6)),
+    "caverphone2_words": _by_code_sql(_caverphone_sql(caverphone.SECOND, 10)),
+    "cologne_words": _COLOGNE,
+    "mra_encode_words": _by_code_sql(_mra_sql("word")),
+    "soundex_difference_pairs": f"""WITH {_PARTS}, a AS (SELECT DISTINCT word AS left_value, {_soundex_sql('word')} AS x FROM p), b AS (SELECT DISTINCT c_mktsegment AS right_value, {_soundex_sql('c_mktsegment')} AS y FROM customer)
+        SELECT left_value, right_value, {_AGREE.format(a='x', b='y')} AS difference FROM a, b WHERE {_AGREE.format(a='x', b='y')} >= 2""",
+    "refined_difference_words": f"""WITH q AS (SELECT DISTINCT string_split(p_name, ' ') AS w FROM part), r AS (SELECT w[1] AS first_word, w[-1] AS last_word, {_refined_sql('w[1]')} AS x, {_refined_sql('w[-1]')} AS y FROM q)
+        SELECT first_word, last_word, {_AGREE.format(a='x', b='y')} AS difference FROM r""",
+    "phonetic_join_soundex": f"""WITH {_PARTS}, {_WORDS}, a AS (SELECT DISTINCT word, {_soundex_sql('word')} AS x FROM p), b AS (SELECT word AS document_word, n, {_soundex_sql('word')} AS y FROM w)
+        SELECT word, document_word, n FROM a JOIN b ON x = y""",
+}

@@ -1 +1 @@
-
+"""Readers of rule files, and rules as DataFrames."""
