@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hearsay.kernels.beider_morse import RuleSet
 from hearsay.kernels.daitch_mokotoff import DaitchMokotoff, built_in
@@ -11,8 +10,12 @@ from hearsay.kernels.daitch_mokotoff import DaitchMokotoff, built_in
 
 def read_texts(spark: SparkSession, directory: str) -> dict[str, str]:
     """Texts of a directory's .txt files by name without ending. Rule files are small and few."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(directory)
-    return {r.name.removesuffix(".txt"): r.value for r in files.select("value", F.col("_metadata.file_name").alias("name")).collect()}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(directory)
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    # the reader leaves empty files out
+    out = {n.removesuffix(".txt"): "" for n in (f.getPath().getName() for f in listed) if n.endswith(".txt")}
+    return out | {r.path.rpartition("/")[2].removesuffix(".txt"): bytes(r.content).decode("utf-8") for r in files.select("path", "content").collect()}
 
 
 def read_beider_morse(spark: SparkSession, directory: str, detect: bool = True) -> RuleSet:
@@ -20,8 +23,8 @@ def read_beider_morse(spark: SparkSession, directory: str, detect: bool = True)
 
 
 def read_daitch_mokotoff(spark: SparkSession, path: str, ascii_folding: bool = True) -> DaitchMokotoff:
-    text = spark.read.option("wholetext", "true").text(path).first()
-    return DaitchMokotoff.parse(text[0] if text else "", ascii_folding, path)
+    file = spark.read.format("binaryFile").load(path).select("content").first()
+    return DaitchMokotoff.parse(bytes(file.content).decode("utf-8"), ascii_folding, path)
 
 
 def daitch_mokotoff_rules(spark: SparkSession, rules: DaitchMokotoff | None = None) -> DataFrame:
