@@ -41,6 +41,8 @@ SEEDS = frozenset("ads advert adult banner bet betting bonus casino clickbait do
 CELLS = 1 << 18
 MODEL_CELLS = 1 << 16
 LONGEST = 20
+#: Added to the count of each word that there is, in either class.
+SMOOTHING = 0.5
 #: Log odds of block at which the method blocks.
 BLOCK_AT = 0.0
 
@@ -181,10 +183,10 @@ def train(urls: DataFrame, unigrams) -> Bayes:
             yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array(list(cells.values()), pa.int64())], ["cell", "n"])
 
     counts = _dense(urls.select("host", "path").mapInArrow(run, "cell long, n long"), 2 * MODEL_CELLS + 2)
-    allow, block = counts[:MODEL_CELLS] + 1.0, counts[MODEL_CELLS:-2] + 1.0
-    weights = np.log(block / block.sum()) - np.log(allow / allow.sum())
-    # cells that no word has say nothing
-    weights[(allow == 1) & (block == 1)] = 0
+    allow, block = counts[:MODEL_CELLS], counts[MODEL_CELLS:-2]
+    known = allow + block > 0  # other cells say nothing
+    more = SMOOTHING * known.sum()
+    weights = np.where(known, np.log((block + SMOOTHING) / (block.sum() + more + 1e-9)) - np.log((allow + SMOOTHING) / (allow.sum() + more + 1e-9)), 0)
     return Bayes(weights.astype(np.float32), log((counts[-1] + 1) / (counts[-2] + 1)))
 
 
