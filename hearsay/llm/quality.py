@@ -120,17 +120,24 @@ class Neighbours:
         return np.clip(np.concatenate(out), 0, 1).astype(np.float64)
 
 
-def fit(texts: list[bytes], labels: list[int], share: float) -> Neighbours:
-    """share: of label 1 among all labelled rows."""
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(text: bytes) -> Sparse:
+    """Places and counts of the terms that a text has."""
+    counts = terms(text)
+    at = np.flatnonzero(counts)
+    return at.astype(np.int32), counts[at]
+
+
+def fit(found: list[Sparse], labels: list[int], share: float) -> Neighbours:
+    """found: terms of labelled texts. share: of label 1 among all labelled rows."""
     y = np.array(labels, np.float32)
     if not len(y):
         none = np.zeros((0, 0), np.float32)
         return Neighbours(np.zeros(0, np.int64), none, none, y, y, 0.5)
-    found, seen = [], np.zeros(TERMS, np.int64)
-    for t in texts:
-        counts = terms(t)
-        at = np.flatnonzero(counts)
-        found.append((at, counts[at]))
+    seen = np.zeros(TERMS, np.int64)
+    for at, _ in found:
         seen[at] += 1
     kept = np.flatnonzero(seen >= min(3, len(y)))
     idf = np.log((1 + len(y)) / (1 + seen[kept])).astype(np.float32) + 0.5
@@ -169,9 +176,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Neighbours:
     for q, n in most.items():
         part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "quality")
-    features = sorted((r.doc_id, bytes(r.text or b""), r.quality) for r in rows.toLocalIterator())
-    return fit([t for _, t, _ in features], [q for *_, q in features], share)
+    texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.col("text").cast("binary"))
+    rows = texts.mapInArrow(_terms, "doc_id long, quality int, at array<int>, counts array<float>").toArrow()
+    found = sorted(zip(rows["doc_id"].to_pylist(), (x.values.to_numpy() for x in rows["at"]), (x.values.to_numpy() for x in rows["counts"]), rows["quality"].to_pylist()), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))
+    return fit([(at, counts) for _, at, counts, _ in found], [q for *_, q in found], share)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sparse(x.as_py() or b"") for x in batch.column(2)]
+        more = [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *more], ["doc_id", "quality", "at", "counts"])
 
 
 def score_documents(docs: DataFrame, model: Neighbours) -> DataFrame:

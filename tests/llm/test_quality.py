@@ -28,7 +28,7 @@ def test_votes_against_brute_force():
     rng = np.random.default_rng(0)
     texts = [bytes(rng.choice(list(b"abc XYZ!|\n"), 80).tolist()) for _ in range(40)]
     labels = [int(k % 3 > 0) for k in range(40)]
-    model = quality.fit(texts, labels, 0.7)
+    model = quality.fit([quality.sparse(t) for t in texts], labels, 0.7)
     ask = [*texts[:5], b"", b"a", b"Zq !!"]
     got = model.scores(ask)
     for t, g in zip(ask, got):
