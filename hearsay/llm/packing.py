@@ -4,7 +4,8 @@ Documents become token ids and a closing id. Only those over the capacity are cu
 first piece, the others fill a sequence each and need no search. What is shorter than a sequence is packed
 partition by partition with best-fit decreasing, and a lower bound from dual feasible functions certifies the
 partition's bin count. Partitions that use more bins than the bound give their least filled bins
-up; those documents are exchanged among ever fewer partitions and packed again, until what is left fits one.
+up; those documents are exchanged among ever fewer partitions and packed again, until what is left fits one, or
+no exchange leaves less. No partition of any round has many more than PART_ROWS documents.
 
 Ids are those of the ``tokenizers`` library for the vocabulary: texts of ASCII and the Latin letters up to
 U+024F are split by an equivalent expression of explicit ranges, others by the vocabulary's own, and each
@@ -151,19 +152,19 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY, final: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins, offsets and which bins are settled: all of them if the bound certifies their count, else the well filled ones.
+    """Bins, offsets and which bins are settled.
 
-    Given up are at least so many of the least filled bins as the count is over the bound, and one more to
-    exchange with, and every other bin that is less than nine tenths full.
+    If the bound certifies the count, only the least filled bin is given up, to be filled with others'. Else so
+    many of the least filled as the count is over the bound, one more to exchange with, and every other
+    bin that is less than nine tenths full. Full bins stay.
     """
     bins, offsets = best_fit_decreasing(sizes, capacity)
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
     gap = len(fill) - lower_bound(sizes, capacity)
     settled = np.ones(len(fill), bool)
     if not final:
-        order = np.argsort(fill, kind="stable")
-        settled[order[: gap + 1]] = False  # without a gap: the last, open bin
-        settled[fill * 10 < capacity * 9] = False
+        settled[np.argsort(fill, kind="stable")[: gap + 1]] = False
+        settled[(gap > 0) & (fill * 10 < capacity * 9)] = False
         settled[fill == capacity] = True
     return bins, offsets, settled
 
@@ -193,9 +194,9 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, capacity: int
     whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("row") * 2, "offset": F.lit(0).cast("long")})
     rest = pieces.where(F.col("length") < capacity).select("row", "length")
     n = rest.count()
-    parts, placed, level = max(1, -(-n // part_rows)), [], 0
+    parts, placed, level, last = max(1, -(-n // part_rows)), [], 0, False
     while n:
-        last = parts == 1
+        last = last or parts == 1
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(parts)))
         packed, _ = written(dealt.groupBy("part").applyInArrow(_packed(capacity, last), "row long, length long, part long, bin long, offset long"), "packed")
         # odd numbers, apart for each level, partition and bin
@@ -204,7 +205,9 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, capacity: int
         rest = packed.where("bin < 0").select("row", "length")
         if last:
             break
-        n, parts, level = rest.count(), -(-parts // FAN_IN), level + 1
+        n, level = rest.count(), level + 1
+        fewer = max(-(-parts // FAN_IN), -(-n // part_rows))
+        parts, last = min(parts, fewer), fewer >= parts
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset"]
     out = whole.select(*columns)
     if placed:

@@ -68,6 +68,12 @@ def test_partitions_exchange_documents(spark):
     assert packing.pack_documents(df.where("false")).count() == 0
 
 
+def test_groups_stay_small_where_nothing_can_be_exchanged(spark):
+    docs = [(k, " ".join("a" * 37)) for k in range(300)]  # any two exceed a sequence
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), capacity=64, part_rows=20, keep_ids=False).collect()
+    assert check(rows, docs, 64) == 300
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for _ in range(60):
