@@ -134,17 +134,34 @@ def register(spark: SparkSession, name: str, encoder: Encoder) -> None:
     spark.udf.register(name, _batched(encoder.encode, "string", pa.string()))
 
 
+def _register_expression(spark: SparkSession, name: str, encode: Callable[[Column], Column]) -> None:
+    """A Catalyst expression as a temporary SQL function of one text."""
+    plan = spark.sql("SELECT '' AS w").select(encode(F.col("w")))._jdf.queryExecution().analyzed()
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(w STRING) RETURNS STRING RETURN {plan.projectList().head().child().sql()}")
+
+
 def register_all(spark: SparkSession, prefix: str = "phonetic_") -> list[str]:
-    """The encoders that run in Arrow batches, with default options, as SQL functions; the names."""
-    made = {
-        "nysiis": _batched(_nysiis, "string", pa.string()),
-        "phonex": _batched(_phonex, "string", pa.string()),
-        "metaphone": _batched(_metaphone, "string", pa.string()),
-        "daitch_mokotoff": _batched(lambda w: _dm.built_in().encode(w), "string", pa.string()),
-        "daitch_mokotoff_soundex": _batched(lambda w: _dm.built_in().soundex(w), "string", pa.string()),
-        "double_metaphone": _batched(lambda w: _double_metaphone(w)[0], "string", pa.string()),
-        "double_metaphone_alternate": _batched(lambda w: _double_metaphone(w)[1], "string", pa.string()),
+    """Every encoder with default options as a SQL function; the names."""
+    native = {
+        "soundex": soundex,
+        "soundex_genealogy": lambda c: soundex(c, GENEALOGY),
+        "refined_soundex": refined_soundex,
+        "caverphone1": caverphone1,
+        "caverphone2": caverphone2,
+        "cologne": cologne,
+        "match_rating": match_rating,
+    }
+    batched = {
+        "nysiis": _nysiis,
+        "phonex": _phonex,
+        "metaphone": _metaphone,
+        "daitch_mokotoff": lambda w: _dm.built_in().encode(w),
+        "daitch_mokotoff_soundex": lambda w: _dm.built_in().soundex(w),
+        "double_metaphone": lambda w: _double_metaphone(w)[0],
+        "double_metaphone_alternate": lambda w: _double_metaphone(w)[1],
     }
-    for name, function in made.items():
-        spark.udf.register(prefix + name, function)
-    return [prefix + n for n in made]
+    for name, encode in native.items():
+        _register_expression(spark, prefix + name, encode)
+    for name, function in batched.items():
+        spark.udf.register(prefix + name, _batched(function, "string", pa.string()))
+    return [prefix + n for n in (*native, *batched)]

@@ -38,12 +38,10 @@ def trimmed(text: Column) -> Column:
 def first_bytes(text: Column, n: int, last: int = 0) -> Column:
     """The first n and the last so many bytes of UTF-8; null if a character would be cut."""
     data = text.cast("binary")
-    cut = F.substring(data, 1, n)
-    head = F.when(F.is_valid_utf8(cut.cast("string")), cut.cast("string"))
-    if not last:
-        return head
-    end = F.substring(data, F.octet_length(text) - last + 1, F.lit(last)).cast("string")
-    return F.concat(head, F.when(F.is_valid_utf8(end), end))
+    head = F.substring(data, 1, n).cast("string")
+    # either part is valid alone, or a character was cut
+    parts = [head, F.substring(data, -last, last).cast("string")] if last else [head]
+    return F.concat(*map(F.try_validate_utf8, parts))
 
 
 def mapping(codes) -> str:

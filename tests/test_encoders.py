@@ -125,7 +125,8 @@ def test_registration(spark):
 
     names = H.register_all(spark)
     got = spark.sql(f"SELECT {', '.join(n + chr(40) + chr(39) + 'Thompson' + chr(39) + chr(41) + f' AS c{k}' for k, n in enumerate(names))}").first()
-    assert len(got) == len(names) and all(got)
+    assert len(got) == len(names) == 14 and all(got)
+    assert spark.sql("SELECT phonetic_soundex(w) AS s, phonetic_caverphone2(w) AS c FROM VALUES ('Thompson') AS t(w)").first() == ("T512", "TMPSN11111")
     H.register(spark, "shout", Shout())
     assert spark.sql("SELECT shout('ab') AS x").first().x == "AB!"
 
