@@ -24,23 +24,28 @@ def soundex(c: Column | str, codes: str = ENGLISH, special_h_w: bool | None = No
     """
     codes = mapping(codes)
     hidden = SILENT not in codes if special_h_w is None else special_h_w
-    word = cleaned(column(c))
-    known = F.regexp_extract(word, "^[A-Z]*", 0)
-    head, tail = F.substring(known, 1, 1), F.substring(known, 2, 2**30)
+    # one chain of expressions: a condition on an intermediate would evaluate it again
+    word = F.regexp_replace(cleaned(column(c)), "[^A-Z].*", _FOREIGN)
     dropped = "".join(x for x, code in zip(LETTERS, codes) if code == SILENT or hidden and x in "HW")
-    said = F.translate(F.translate(tail, dropped, "") if dropped else tail, LETTERS, codes)
-    run = collapsed(F.concat(F.translate(head, LETTERS, codes), said))
+    said = F.regexp_replace(word, f"(?<=.)[{dropped}]", "") if dropped else word
+    run = collapsed(F.translate(said, LETTERS, codes))
     digits = F.translate(F.substring(run, 2, 2**30), "0", "")
-    code = F.rpad(F.concat(head, F.substring(digits, 1, LENGTH - 1)), LENGTH, "0")
-    complete = (F.length(known) == F.length(word)) | ((F.length(known) > 0) & (F.length(digits) >= LENGTH - 1))
-    return F.when(word == "", F.lit("")).when(complete, code)
+    filled = F.concat(F.substring(word, 1, 1), F.substring(digits, 1, LENGTH - 1), F.lit("0" * (LENGTH - 1)))
+    return _unless_foreign(F.regexp_replace(filled, f"^0+$|(?<=^.{{{LENGTH}}}).*", ""))
+
+
+#: Stands for a letter beyond A to Z.
+_FOREIGN = "\x01"
+
+
+def _unless_foreign(code: Column) -> Column:
+    return F.nullif(F.regexp_replace(code, f"^.*{_FOREIGN}.*$", _FOREIGN), F.lit(_FOREIGN))
 
 
 def refined_soundex(c: Column | str, codes: str = REFINED) -> Column:
     """First letter, then the codes of all letters, runs as one. A letter beyond A to Z gives null."""
-    word = cleaned(column(c))
-    code = F.concat(F.substring(word, 1, 1), collapsed(F.translate(word, LETTERS, mapping(codes))))
-    return F.when(word == "", F.lit("")).when(~word.rlike("[^A-Z]"), code)
+    word = F.regexp_replace(cleaned(column(c)), "[^A-Z]", _FOREIGN)
+    return _unless_foreign(F.concat(F.substring(word, 1, 1), collapsed(F.translate(word, LETTERS, mapping(codes)))))
 
 
 def agreement(a: Column, b: Column) -> Column:

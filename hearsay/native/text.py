@@ -15,9 +15,10 @@ def column(c: Column | str) -> Column:
 
 
 def rewritten(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
-    """Regular expressions replaced one after another."""
+    """Patterns replaced one after another; those of plain characters without a regular expression."""
     for pattern, replacement in steps:
-        text = F.regexp_replace(text, pattern, replacement)
+        plain = pattern.isalnum() and replacement.isalnum()
+        text = F.replace(text, F.lit(pattern), F.lit(replacement)) if plain else F.regexp_replace(text, pattern, replacement)
     return text
 
 
