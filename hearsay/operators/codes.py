@@ -16,6 +16,11 @@ from hearsay.native.text import trimmed
 Encode = Callable[[Column], Column]
 
 
+def once(expression: Column) -> Column:
+    """For ``withColumn``: evaluated once, as no filter on the column moves below a generator."""
+    return F.explode(F.array(expression))
+
+
 def encode_distinct(df: DataFrame, text: str, encode: Encode, code: str = "code") -> DataFrame:
     """``df`` with the code of a column, each distinct value encoded once. For costly encoders over values that repeat."""
     codes = df.select(F.col(text).alias("_value")).where(F.col("_value").isNotNull()).distinct().withColumn(code, encode(F.col("_value")))
@@ -38,7 +43,7 @@ def code_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str
 
     def code(text: str) -> Column:
         made = encode(F.col(text))
-        return F.when(made != "", made) if drop_empty else made
+        return once(F.nullif(made, F.lit("")) if drop_empty else made)
 
     joined = left.withColumn("_left_code", code(left_text)).join(right.withColumn("_right_code", code(right_text)), F.col("_left_code") == F.col("_right_code"), how)
     return joined.drop("_left_code", "_right_code")
@@ -59,7 +64,7 @@ def match_rating_join(left: DataFrame, right: DataFrame, left_text: str, right_t
     """
     a = left.select(F.col(left_text).alias("left_value")).where("left_value is not null").distinct()
     b = right.select(F.col(right_text).alias("right_value")).where("right_value is not null").distinct()
-    x, y = a.withColumn("left_code", match_rating(F.col("left_value"))), b.withColumn("right_code", match_rating(F.col("right_value")))
+    x, y = a.withColumn("left_code", once(match_rating(F.col("left_value")))), b.withColumn("right_code", once(match_rating(F.col("right_value"))))
 
     def keys(codes: DataFrame, name: str) -> DataFrame:
         code = F.col(name)
@@ -81,8 +86,8 @@ def difference_join(left: DataFrame, right: DataFrame, left_text: str, right_tex
     """
     if not 1 <= least <= 4:
         raise ValueError("least is from 1 to 4: at 0 every pair would match")
-    a = left.select(F.col(left_text).alias("left_value")).distinct().withColumn("left_code", encode(F.col("left_value")))
-    b = right.select(F.col(right_text).alias("right_value")).distinct().withColumn("right_code", encode(F.col("right_value")))
+    a = left.select(F.col(left_text).alias("left_value")).distinct().withColumn("left_code", once(encode(F.col("left_value"))))
+    b = right.select(F.col(right_text).alias("right_value")).distinct().withColumn("right_code", once(encode(F.col("right_value"))))
 
     def keys(codes: DataFrame, name: str) -> DataFrame:
         sets = [F.concat(*(F.concat(F.lit(str(p)), F.substring(name, p, 1)) for p in places)) for places in combinations((1, 2, 3, 4), least)]

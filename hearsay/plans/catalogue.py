@@ -192,6 +192,60 @@ SELECT left(d, 1) || replace(substr(d, 2), '0', '') AS code, CAST(sum(n) AS BIGI
 """
 
 
+# Letter by letter; the two letters after D in DG and a front vowel are skipped.
+_METAPHONE = f"""
+WITH {_WORDS},
+l AS (SELECT word, n, CASE WHEN regexp_matches(word, '^([KGP]N|AE|WR)') THEN substr(word, 2) WHEN word LIKE 'WH%' THEN 'W' || substr(word, 3) WHEN word LIKE 'X%' THEN 'S' || substr(word, 2) ELSE word END AS w FROM w),
+s AS (SELECT word, n, list_transform(generate_series(1, length(w)), lambda i: {{'i': i, 'c': substr(w, i, 1), 'b': CASE WHEN i > 1 THEN substr(w, i - 1, 1) ELSE '' END, 'a': substr(w, i + 1, 1), 'r': substr(w, i),
+  'skip': i > 1 AND regexp_matches(substr(w, i - 1, 3), '^DG[EIY]$') OR i > 2 AND regexp_matches(substr(w, i - 2, 3), '^DG[EIY]$'), 'four': length(w) > 3}}) AS l FROM l),
+t AS (SELECT n, word, array_to_string(list_transform(l, lambda x: CASE
+  WHEN x.skip OR x.b = x.c AND x.c <> 'C' THEN '' WHEN x.c IN ('A','E','I','O','U') THEN CASE WHEN x.i = 1 THEN x.c ELSE '' END
+  WHEN x.c = 'B' THEN CASE WHEN x.b = 'M' AND x.a = '' THEN '' ELSE 'B' END
+  WHEN x.c = 'C' THEN CASE WHEN x.b = 'S' AND x.a IN ('E','I','Y') THEN '' WHEN x.r LIKE 'CIA%' THEN 'X' WHEN x.a IN ('E','I','Y') THEN 'S' WHEN x.b = 'S' AND x.a = 'H' THEN 'K'
+    WHEN x.a = 'H' THEN CASE WHEN x.i = 1 AND x.four AND substr(x.r, 3, 1) IN ('A','E','I','O','U') THEN 'K' ELSE 'X' END ELSE 'K' END
+  WHEN x.c = 'D' THEN CASE WHEN regexp_matches(x.r, '^DG[EIY]') THEN 'J' ELSE 'T' END
+  WHEN x.c = 'G' THEN CASE WHEN x.r = 'GH' OR regexp_matches(x.r, '^GH[^AEIOU]') OR x.i > 1 AND x.a = 'N' THEN '' WHEN x.b <> 'G' AND x.a IN ('E','I','Y') THEN 'J' ELSE 'K' END
+  WHEN x.c = 'H' THEN CASE WHEN x.a = '' OR x.b IN ('C','S','P','T','G') THEN '' WHEN x.a IN ('A','E','I','O','U') THEN 'H' ELSE '' END
+  WHEN x.c IN ('F','J','L','M','N','R') THEN x.c WHEN x.c = 'K' THEN CASE WHEN x.b = 'C' THEN '' ELSE 'K' END
+  WHEN x.c = 'P' THEN CASE WHEN x.a = 'H' THEN 'F' ELSE 'P' END WHEN x.c = 'Q' THEN 'K' WHEN x.c = 'S' THEN CASE WHEN regexp_matches(x.r, '^S(H|IO|IA)') THEN 'X' ELSE 'S' END
+  WHEN x.c = 'T' THEN CASE WHEN regexp_matches(x.r, '^TI[AO]') THEN 'X' WHEN x.r LIKE 'TCH%' THEN '' WHEN x.a = 'H' THEN '0' ELSE 'T' END
+  WHEN x.c = 'V' THEN 'F' WHEN x.c IN ('W','Y') THEN CASE WHEN x.a IN ('A','E','I','O','U') THEN x.c ELSE '' END WHEN x.c = 'X' THEN 'KS' WHEN x.c = 'Z' THEN 'S' ELSE '' END), '') AS d FROM s)
+SELECT CASE WHEN length(word) = 1 THEN word ELSE left(d, 4) END AS code, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words FROM t GROUP BY 1
+"""
+
+# The rest of the word as it is rewritten, with the letter before it and the code so far.
+_NYSIIS = """
+WITH RECURSIVE {words},
+a AS (SELECT word, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '^MAC', 'MCC'), '^KN', 'NN'), '^K', 'C'), '^P[HF]', 'FF'), '^SCH', 'SSS') AS x FROM w),
+b AS (SELECT word, n, regexp_replace(regexp_replace(x, '(EE|IE)$', 'Y'), '(DT|RT|RD|NT|ND)$', 'D') AS x FROM a),
+r AS (SELECT word, n, left(x, 1) AS code, left(x, 1) AS p, substr(x, 2) AS rest FROM b
+      UNION ALL
+      SELECT word, n, CASE WHEN left(t, 1) <> p THEN code || left(t, 1) ELSE code END, left(t, 1), substr(t, 2) FROM (SELECT *, CASE
+        WHEN rest LIKE 'EV%' THEN 'AF' || substr(rest, 3) WHEN regexp_matches(rest, '^[AEIOU]') THEN 'A' || substr(rest, 2) WHEN rest LIKE 'Q%' THEN 'G' || substr(rest, 2) WHEN rest LIKE 'Z%' THEN 'S' || substr(rest, 2)
+        WHEN rest LIKE 'M%' THEN 'N' || substr(rest, 2) WHEN rest LIKE 'KN%' THEN 'NN' || substr(rest, 3) WHEN rest LIKE 'K%' THEN 'C' || substr(rest, 2) WHEN rest LIKE 'SCH%' THEN 'SSS' || substr(rest, 4)
+        WHEN rest LIKE 'PH%' THEN 'FF' || substr(rest, 3) WHEN rest LIKE 'H%' AND (NOT regexp_matches(p, '[AEIOU]') OR NOT regexp_matches(rest, '^H[AEIOU]')) OR rest LIKE 'W%' AND regexp_matches(p, '[AEIOU]') THEN p || substr(rest, 2)
+        ELSE rest END AS t FROM r WHERE rest <> '')),
+d AS (SELECT n, CASE WHEN length(code) < 2 THEN code ELSE regexp_replace(regexp_replace(regexp_replace(code, 'S$', ''), '(.)AY$', '\\1Y'), 'A$', '') END AS code FROM r WHERE rest = '')
+SELECT {cut} AS code, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words FROM d GROUP BY 1
+"""
+
+# Letters without a code of their own in lower case, M and N with a silent neighbour as one; then sign by sign.
+_PHONEX = f"""
+WITH RECURSIVE {_WORDS},
+a AS (SELECT word, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, 'S+$', ''), '^KN', 'NN'), '^PH', 'FH'), '^WR', 'RR'), '^H', '') AS x FROM w),
+b AS (SELECT word, n, translate(left(x, 1), 'EIOUYPVKQJZ', 'AAAAABFCCGS') || substr(x, 2) AS x FROM a),
+c AS (SELECT word, n, left(x, 1) AS first, array_to_string(list_transform(generate_series(1, length(x)), lambda i: CASE
+        WHEN substr(x, i, 1) IN ('L','R') AND regexp_matches(substr(x, i + 1, 1), '[^AEIOUY]') OR substr(x, i, 1) IN ('D','T') AND substr(x, i + 1, 1) = 'C' THEN lower(substr(x, i, 1)) ELSE substr(x, i, 1) END), '') AS y FROM b),
+e AS (SELECT word, n, first, length(regexp_extract(y, '^[MN][DGd]')) > 0 AS two, translate(regexp_replace(y, '[MN][DGd]', '5', 'g'), 'BPFVCSKGJQXZDTLMNRAEIOUYHWdtlr', '111122222222334556000000' || '00xxxx') AS z FROM c),
+r AS (SELECT word, n, z, 1 AS i, first || CASE WHEN two THEN '5' ELSE '' END AS code, CASE WHEN two THEN '5' WHEN left(z, 1) IN ('x', '') THEN '0' ELSE left(z, 1) END AS now, CASE WHEN two THEN '5' WHEN left(z, 1) IN ('x', '') THEN '0' ELSE left(z, 1) END AS last FROM e
+      UNION ALL
+      SELECT word, n, z, i + 1, CASE WHEN k <> '0' AND k <> last THEN code || k ELSE code END, k, right(CASE WHEN k <> '0' AND k <> last THEN code || k ELSE code END, 1)
+      FROM (SELECT *, CASE WHEN substr(z, i + 1, 1) = 'x' THEN now ELSE substr(z, i + 1, 1) END AS k FROM r WHERE i < length(z) AND length(code) < 4)),
+f AS (SELECT word, any_value(n) AS n, rpad(max_by(code, i), 4, '0') AS code FROM r GROUP BY word)
+SELECT code, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words FROM f GROUP BY 1
+"""
+
+
 def _by_code_sql(code: str) -> str:
     return f"WITH {_WORDS} SELECT {code} AS code, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words FROM w GROUP BY 1"
 
@@ -207,6 +261,10 @@ ORACLES = {
     "caverphone2_words": _by_code_sql(_caverphone_sql(caverphone.SECOND, 10)),
     "cologne_words": _COLOGNE,
     "mra_encode_words": _by_code_sql(_mra_sql("word")),
+    "metaphone_words": _METAPHONE,
+    "nysiis_words": _NYSIIS.format(words=_WORDS, cut="left(code, 6)"),
+    "nysiis_full_words": _NYSIIS.format(words=_WORDS, cut="code"),
+    "phonex_words": _PHONEX,
     "soundex_difference_pairs": f"""WITH {_PARTS}, a AS (SELECT DISTINCT word AS left_value, {_soundex_sql('word')} AS x FROM p), b AS (SELECT DISTINCT c_mktsegment AS right_value, {_soundex_sql('c_mktsegment')} AS y FROM customer)
         SELECT left_value, right_value, {_AGREE.format(a='x', b='y')} AS difference FROM a, b WHERE {_AGREE.format(a='x', b='y')} >= 2""",
     "refined_difference_words": f"""WITH q AS (SELECT DISTINCT string_split(p_name, ' ') AS w FROM part), r AS (SELECT w[1] AS first_word, w[-1] AS last_word, {_refined_sql('w[1]')} AS x, {_refined_sql('w[-1]')} AS y FROM q)

@@ -109,6 +109,12 @@ def test_operators(spark):
     assert ops.code_join(df, other, "w", "v", H.soundex, "left_anti").count() == 1
 
 
+def test_joins_encode_each_side_once(spark):
+    x, y = (spark.createDataFrame([("a",)], f"{c} string") for c in "vw")
+    plan = ops.code_join(x, y, "v", "w", H.phonex)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
 def test_native_plans_have_no_python(spark):
     df = spark.createDataFrame([("a",)], "w string")
     for encode in (H.soundex, H.refined_soundex, H.caverphone1, H.caverphone2, H.cologne, H.match_rating):
