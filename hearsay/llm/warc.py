@@ -67,26 +67,22 @@ def _header(fields: list[tuple[str, str]], length: int) -> bytes:
     return "\r\n".join(lines).encode() + _END
 
 
-def record_id(row: int) -> str:
-    return f"<urn:page-row:{row}>"
-
-
-def records(row: int, page_id: int | None, url: str, payload: bytes, digest: str, refers: tuple[int, int] | None, segment: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page, without their terminators. refers: row and page_id of the response."""
+def records(name: str, page_id: int | None, url: str, payload: bytes, digest: str, refers: tuple[str, int] | None, segment: int = SEGMENT_BYTES) -> list[bytes]:
+    """The records of one page, without their terminators. name: of the record; refers: name and page_id of the response."""
     safe = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     same = [("WARC-Date", _DATE), ("WARC-Target-URI", safe), ("WARC-Payload-Digest", f"sha1:{digest}")]
     own = [("Page-Id", str(page_id))] if page_id is not None else []
     if refers:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(row)), ("WARC-Refers-To", record_id(refers[0])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *same, *own, ("Refers-To-Page-Id", str(refers[1]))]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Refers-To", f"<{refers[0]}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *same, *own, ("Refers-To-Page-Id", str(refers[1]))]
         return [_header(fields, 0)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(row)), *same, *own, ("Content-Type", "application/http; msgtype=response")]
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{name}>"), *same, *own, ("Content-Type", "application/http; msgtype=response")]
     if len(block) <= segment:
         return [_header(fields, len(block)) + block]
     out = [_header([*fields, ("WARC-Segment-Number", "1")], segment) + block[:segment]]
     for n, at in enumerate(range(segment, len(block), segment), 2):
         part = block[at : at + segment]
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page-row:{row}/{n}>"), *same, ("WARC-Segment-Origin-ID", record_id(row)), ("WARC-Segment-Number", str(n))]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}/{n}>"), *same, ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", str(n))]
         if at + segment >= len(block):
             more.append(("WARC-Segment-Total-Length", str(len(block))))
         out.append(_header(more, len(part)) + part)
@@ -100,8 +96,11 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                refers = (r["to_row"], r["to_page"]) if r["to_page"] is not None and r["page_id"] != r["to_page"] else None
-                out += records(r["row"], r["page_id"], r["url"] or "", r["payload"], r["digest"], refers, segment)
+                shared = f"urn:sha1:{r['digest']}"
+                refers = (shared, r["to_page"]) if r["to_page"] is not None and r["page_id"] != r["to_page"] else None
+                # others refer to one of the rows of the last page
+                named = r["to_page"] is not None and not refers and (r["to_n"] == 1 or r["row"] == r["to_row"])
+                out += records(shared if named else f"urn:page-row:{r['row']}", r["page_id"], r["url"] or "", r["payload"], r["digest"], refers, segment)
                 if sum(map(len, out[-64:])) > 1 << 22 or len(out) > 512:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
                     out = []
@@ -110,8 +109,9 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     numbered = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row"), F.sha1(payload).alias("digest"))
     long = F.when(F.octet_length("payload") >= REVISIT_BYTES, F.col("digest"))
-    last = numbered.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("to")).where("n > 1")
-    known = last.select(F.col("digest").alias("of"), F.col("to.page_id").alias("to_page"), F.col("to.row").alias("to_row"))
+    pages_of = numbered.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max("row").alias("row"))
+    last = pages_of.groupBy("digest").agg(F.sum("n").alias("all"), F.max(F.struct("page_id", "n", "row")).alias("to")).where("all > 1")
+    known = last.select(F.col("digest").alias("of"), F.col("to.page_id").alias("to_page"), F.col("to.n").alias("to_n"), F.col("to.row").alias("to_row"))
     joined = numbered.join(known, long == known["of"], "left").drop("of")
     rows = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
     rows.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -210,8 +210,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     responses, revisits = read_archives(spark, path)
     sized = responses.select("record", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     sized, _ = written(sized, "responses")
-    found = revisits.join(sized.select(F.col("record").alias("refers"), "payload_bytes", "payload_digest"), "refers").where("digest = payload_digest")
-    again = found.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("refers_page").alias("refers_to"))
+    found = revisits.join(sized.select(F.col("record").alias("refers"), "payload_bytes", "payload_digest"), "refers", "left")
+    lost = F.raise_error(F.concat(F.lit("no response of this digest: "), "refers"))
+    checked = F.when(F.coalesce(F.col("digest") == F.col("payload_digest"), F.lit(False)), F.col("payload_bytes")).otherwise(lost.cast("long"))
+    again = found.withColumn("payload_bytes", checked).select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("refers_page").alias("refers_to"))
     return sized.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).union(again)
 
 
