@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm.common import table
@@ -91,7 +91,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = found.join(distinct_windows, ["window", "width"], "left_semi").distinct()
 
     # words covered by the union of a text's hit windows: each adds what reaches beyond those before it
-    reach = F.max(F.expr("start + width")).over(_before(keys))
+    reach = F.max(F.expr("start + width")).over(Window.partitionBy(*keys).orderBy("start", "width").rowsBetween(Window.unboundedPreceding, -1))
     added = F.expr("start + width") - F.greatest(F.col("start"), F.least(F.coalesce(reach, F.lit(0)), F.expr("start + width")))
     covered = hits.withColumn("added", added).groupBy(*keys).agg(F.sum("added").alias("n_hit"))
     named = hits.select(*keys, "window", "width").distinct().join(windows, ["window", "width"]).where("item_id is not null").select(*keys, F.col("item_id").cast("string").alias("item")).distinct()
@@ -106,12 +106,6 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def _before(keys: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("start", "width").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of an item. A document is known by its doc_id; rows without one stay."""
     hit = contamination(docs, items).where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
