@@ -20,9 +20,15 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Over all cores where the files have fewer splits than there are cores; large inputs aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, n): runs of ASCII letters in all documents, in upper case, with their number."""
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word"))
+    texts = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")).select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word"))
     return texts.where("word <> ''").groupBy(F.upper("word").alias("word")).agg(F.count("*").alias("n"))
 
 
