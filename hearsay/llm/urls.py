@@ -4,8 +4,8 @@ A rule names a host and the start of a path; it fits that host and its subdomain
 fits decides. Where none does, the host's names are split into words by the most probable unigram segmentation
 (Viterbi), and a multinomial naive Bayes model scores the words of host and path.
 
-The unigram counts are those of all words in all pages' text, kept in a table of fixed size: each word adds to
-one cell of each of two rows and counts as the lesser cell, so the table's size doesn't depend on the pages. The
+The unigram counts are those of all words in all pages' text, exact, in a table that grows with the words. Each
+distinct host's substrings are looked up in it by a join, and the host is split with what they found. The
 naive Bayes model learns from the same URLs: those whose host has one of the SEEDS of a blocked category as a
 word of its own are of class block, all others of class allow; its counts are kept in hashed cells as well. No URL
 is known to it by host or path as a whole.
@@ -22,7 +22,6 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -31,20 +30,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.common import table
+from hearsay.llm.common import table, written
 
 #: (rule, verdict): host, then the path's start.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Words that make a host's class block when the model is trained.
 SEEDS = frozenset("ads advert adult banner bet betting bonus casino clickbait doorway escort fake farm gambling loan lottery malware phish pills poker porn scam sex slots spam spyware torrent track tracker viagra virus warez win xxx".split())
-#: Cells in each of the two rows of the unigram table, and in the model's.
+#: Cells in each of the two rows of a ``Unigrams`` table. No query counts in one.
 CELLS = 1 << 18
+#: Cells of the model's table.
 MODEL_CELLS = 1 << 16
 LONGEST = 20
 #: Added to the count of each word that there is, in either class.
 SMOOTHING = 0.5
 #: Log odds of block at which the method blocks.
 BLOCK_AT = 0.0
+#: Words, or substrings, that a task holds before it hands them on.
+HELD = 1 << 16
 
 _WORD = re.compile(r"[a-z]{1,20}")
 _HIDDEN = re.compile(r"<(script|style)\b")
@@ -78,15 +80,15 @@ def cells_of(word: str, cells: int = CELLS) -> tuple[int, int]:
     return h % cells, cells + (h >> 32) % cells
 
 
-@dataclass(frozen=True)
-class Unigrams:
-    counts: np.ndarray
+class _Segmenter:
     total: int
 
+    def count(self, word: str) -> int:
+        raise NotImplementedError
+
     def cost(self, word: str) -> float:
         """Minus the log probability; an unknown word's falls by a factor of 10 for each letter."""
-        a, b = cells_of(word, len(self.counts) // 2)
-        n = min(int(self.counts[a]), int(self.counts[b]))
+        n = self.count(word)
         return -log(n / (self.total + 1)) if n else log(self.total + 2) + 2.3 * len(word)
 
     def segment(self, name: str) -> list[str]:
@@ -101,10 +103,37 @@ class Unigrams:
         return words[::-1]
 
 
-def host_words(host: str, unigrams: Unigrams) -> list[str]:
+@dataclass(frozen=True)
+class Unigrams(_Segmenter):
+    """Counts in two rows of hashed cells; only for vocabularies well below CELLS."""
+
+    counts: np.ndarray
+    total: int
+
+    def count(self, word: str) -> int:
+        a, b = cells_of(word, len(self.counts) // 2)
+        return min(int(self.counts[a]), int(self.counts[b]))
+
+
+@dataclass(frozen=True)
+class WordCounts(_Segmenter):
+    """Exact counts of at least those words that the names to be split hold."""
+
+    counts: dict[str, int]
+    total: int
+
+    def count(self, word: str) -> int:
+        return self.counts.get(word, 0)
+
+
+def _host_tokens(host: str) -> list[str]:
+    """Runs of letters and of digits of a host without its last name."""
+    return [t for n in host.split(".")[:-1] or [host] for t in _TOKEN.findall(n)]
+
+
+def host_words(host: str, unigrams: _Segmenter) -> list[str]:
     """Words of a host without its last name."""
-    names = host.split(".")[:-1] or [host]
-    return [w for n in names for t in _TOKEN.findall(n) for w in (unigrams.segment(t) if t[0].isalpha() else ["#"])]
+    return [w for t in _host_tokens(host) for w in (unigrams.segment(t) if t[0].isalpha() else ["#"])]
 
 
 def path_words(path: str) -> list[str]:
@@ -123,29 +152,69 @@ def visible(html: str) -> str:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    seen: Counter = Counter()
     for batch in batches:
-        seen: Counter = Counter()
         for x in batch.column(0):
             seen.update(_WORD.findall(visible(x.as_py() or "")))
-        cells: Counter = Counter()
-        for word, n in seen.items():
-            for c in cells_of(word):
-                cells[c] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array(list(cells.values()), pa.int64())], ["cell", "n"])
+            if len(seen) >= HELD:
+                yield out()
+                seen.clear()
+    yield out()
+
+
+def unigrams_of(pages: DataFrame) -> DataFrame:
+    """(word, n): counts of the words of ASCII letters in the text of every page's html."""
+    found = pages.select("html").mapInArrow(_texts, "word string, n long")
+    return written(found.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")[0]
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, host) to (id, word): what may be a word of the host."""
+    ids: list[int] = []
+    words: list[str] = []
+    for batch in batches:
+        for k, host in zip(batch.column(0).to_pylist(), batch.column(1)):
+            names = [t for t in _host_tokens(host.as_py()) if t[0].isalpha()]
+            own = {t[a:b] for t in names for a in range(len(t)) for b in range(a + 1, min(a + LONGEST, len(t)) + 1)}
+            words += own
+            ids += [k] * len(own)
+            if len(ids) >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["id", "word"])
+                ids, words = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["id", "word"])
+
+
+def split_hosts(hosts: DataFrame, unigrams: DataFrame) -> DataFrame:
+    """hosts (host), unigrams (word, n): (host, host_words) of every distinct host."""
+    total = unigrams.agg(F.sum("n")).first()[0] or 0
+    own, _ = written(hosts.select("host").distinct().select(F.monotonically_increasing_id().alias("id"), "host"), "hosts")
+    known = own.mapInArrow(_substrings, "id long, word string").join(unigrams, "word").groupBy("id").agg(F.collect_list("word").alias("word"), F.collect_list("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            words = [host_words(h, WordCounts(dict(zip(w or (), n or ())), total)) for h, w, n in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["host", "host_words"])
+
+    split = own.join(known, "id", "left").select("host", "word", "n").mapInArrow(run, "host string, host_words array<string>")
+    return written(split, "host_words")[0]
 
 
-def _dense(counts: DataFrame, size: int) -> np.ndarray:
-    """Counts per cell, at most ``size`` rows."""
-    rows = counts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return out
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = pa.array([path_words(p.as_py()) for p in batch.column(2)], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, words], ["page_id", "host", "path", "path_words"])
 
 
-def unigrams_of(pages: DataFrame) -> Unigrams:
-    """Counts of the words of ASCII letters in the text of every page's html."""
-    counts = _dense(pages.select("html").mapInArrow(_texts, "cell long, n long"), 2 * CELLS)
-    return Unigrams(counts, int(counts[:CELLS].sum()))
+def url_words(urls: DataFrame, unigrams: DataFrame) -> DataFrame:
+    """urls (page_id, host, path): (row, page_id, host, path, words, blocked), a row for each; blocked is its class in training."""
+    split = urls.mapInArrow(_paths, "page_id long, host string, path string, path_words array<string>")
+    blocked = F.arrays_overlap("host_words", F.array(*map(F.lit, sorted(SEEDS))))
+    words = split.join(split_hosts(urls, unigrams), "host").select("page_id", "host", "path", F.concat("host_words", "path_words").alias("words"), blocked.alias("blocked"))
+    return written(words.select(F.monotonically_increasing_id().alias("row"), "*"), "url_words")[0]
 
 
 def _cell(word: str) -> int:
@@ -163,26 +232,21 @@ class Bayes:
         return self.prior + float(sum(self.weights[_cell(w)] for w in words))
 
 
-def _url_parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[str], list[str]]]]]:
-    split = lru_cache(1 << 16)(lambda host: tuple(host_words(host, shared.value)))
-    for batch in batches:
-        yield batch, [(list(split(h.as_py())), path_words(p.as_py())) for h, p in zip(batch.column("host"), batch.column("path"))]
-
-
-def train(urls: DataFrame, unigrams) -> Bayes:
-    """urls (host, path), unigrams as a broadcast."""
+def train(urls: DataFrame) -> Bayes:
+    """urls (words, blocked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _url_parts(batches, unigrams):
+        for batch in batches:
             cells: Counter = Counter()
-            for host, path in parts:
-                blocked = not SEEDS.isdisjoint(host)
+            for words, blocked in zip(*(c.to_pylist() for c in batch.columns)):
                 cells[2 * MODEL_CELLS + blocked] += 1
-                for w in (*host, *path):
+                for w in words:
                     cells[_cell(w) + blocked * MODEL_CELLS] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array(list(cells.values()), pa.int64())], ["cell", "n"])
 
-    counts = _dense(urls.select("host", "path").mapInArrow(run, "cell long, n long"), 2 * MODEL_CELLS + 2)
+    rows = urls.select("words", "blocked").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(2 * MODEL_CELLS + 2, np.int64)
+    counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     allow, block = counts[:MODEL_CELLS], counts[MODEL_CELLS:-2]
     known = allow + block > 0  # other cells say nothing
     more = SMOOTHING * known.sum()
@@ -192,19 +256,16 @@ def train(urls: DataFrame, unigrams) -> Bayes:
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages (page_id, url, html): (page_id, host, path, rule, verdict, words, score), a row for each."""
-    context = pages.sparkSession.sparkContext
     host, path = host_and_path(F.col("url"))
-    urls = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
-    unigrams = context.broadcast(unigrams_of(pages))
-    model = context.broadcast(train(urls, unigrams))
+    urls = url_words(pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path")), unigrams_of(pages))
+    model = pages.sparkSession.sparkContext.broadcast(train(urls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, parts in _url_parts(batches, unigrams):
-            words = [[*h, *p] for h, p in parts]
-            more = [pa.array(words, pa.list_(pa.string())), pa.array([model.value.score(w) for w in words], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["page_id", "host", "path", "words", "score"])
+        for batch in batches:
+            scores = [model.value.score(w.as_py()) for w in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], ["page_id", "host", "path", "words", "score"])
 
-    scored = urls.mapInArrow(run, "page_id long, host string, path string, words array<string>, score double")
+    scored = urls.select("page_id", "host", "path", "words").mapInArrow(run, "page_id long, host string, path string, words array<string>, score double")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("score") > BLOCK_AT, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, own).alias("verdict"), "words", "score")

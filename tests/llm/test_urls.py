@@ -66,3 +66,15 @@ def test_unseen_hosts_are_judged_by_their_words(spark):
     found = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=()).collect()}
     assert all((found[k].verdict == "block") == (k >= 100) for k in found)
     assert "casino" in found[100].words and urls.visible("<Script>x</script>A<style>b").split() == ["a"]
+
+
+def words_but(avoid=()):
+    return (w for n in range(3, 6) for w in map("".join, itertools.product("bcdfghjklmnpqrstvwxz", repeat=n)) if w not in avoid)
+
+
+def test_counts_of_other_words_do_not_count_as_a_host_s(spark):
+    a, b = urls.cells_of("riverstone")
+    first, second = next(w for w in words_but() if urls.cells_of(w)[0] == a), next(w for w in words_but() if urls.cells_of(w)[1] == b)
+    html = "<p>" + "river stone " * 5 + f"{first} {second} " * 5000 + "</p>"
+    found = urls.judged(spark.createDataFrame([(1, "http://riverstone.com/x", html)], "page_id long, url string, html string")).collect()
+    assert found[0].words == ["river", "stone", "/x"]
