@@ -7,8 +7,8 @@ fits decides. Where none does, the host's names are split into words by the most
 The unigram counts are those of all words in all pages' text, exact, in a table that grows with the words. Each
 distinct host's substrings are looked up in it by a join, and the host is split with what they found. The
 naive Bayes model learns from the same URLs: those whose host has one of the SEEDS of a blocked category as a
-word of its own are of class block, all others of class allow; its counts are kept in hashed cells as well. No URL
-is known to it by host or path as a whole.
+word of its own are of class block, all others of class allow; each word has its own counts, in a table that is
+joined to the words of the URLs. No URL is known to it by host or path as a whole.
 
 Defined cases: a URL that is null or has no "://" has an empty host and path, no rule, and the verdict of
 the class priors alone; a null html adds no words; a null page_id and repeated rows each come out; an empty
@@ -38,8 +38,6 @@ RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow
 SEEDS = frozenset("ads advert adult banner bet betting bonus casino clickbait doorway escort fake farm gambling loan lottery malware phish pills poker porn scam sex slots spam spyware torrent track tracker viagra virus warez win xxx".split())
 #: Cells in each of the two rows of a ``Unigrams`` table. No query counts in one.
 CELLS = 1 << 18
-#: Cells of the model's table.
-MODEL_CELLS = 1 << 16
 LONGEST = 20
 #: Added to the count of each word that there is, in either class.
 SMOOTHING = 0.5
@@ -217,55 +215,26 @@ def url_words(urls: DataFrame, unigrams: DataFrame) -> DataFrame:
     return written(words.select(F.monotonically_increasing_id().alias("row"), "*"), "url_words")[0]
 
 
-def _cell(word: str) -> int:
-    return xxhash.xxh64_intdigest(word, 11) % MODEL_CELLS
-
-
-@dataclass(frozen=True)
-class Bayes:
-    """weights: log odds of block for each cell; prior: log odds of the classes."""
-
-    weights: np.ndarray
-    prior: float
-
-    def score(self, words: list[str]) -> float:
-        return self.prior + float(sum(self.weights[_cell(w)] for w in words))
-
-
-def train(urls: DataFrame) -> Bayes:
-    """urls (words, blocked)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells: Counter = Counter()
-            for words, blocked in zip(*(c.to_pylist() for c in batch.columns)):
-                cells[2 * MODEL_CELLS + blocked] += 1
-                for w in words:
-                    cells[_cell(w) + blocked * MODEL_CELLS] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array(list(cells.values()), pa.int64())], ["cell", "n"])
-
-    rows = urls.select("words", "blocked").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * MODEL_CELLS + 2, np.int64)
-    counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    allow, block = counts[:MODEL_CELLS], counts[MODEL_CELLS:-2]
-    known = allow + block > 0  # other cells say nothing
-    more = SMOOTHING * known.sum()
-    weights = np.where(known, np.log((block + SMOOTHING) / (block.sum() + more + 1e-9)) - np.log((allow + SMOOTHING) / (allow.sum() + more + 1e-9)), 0)
-    return Bayes(weights.astype(np.float32), log((counts[-1] + 1) / (counts[-2] + 1)))
+def train(urls: DataFrame) -> tuple[DataFrame, float]:
+    """urls (words, blocked): (word, weight), the log odds of block for each word there is, and the log odds of the classes."""
+    found = urls.select(F.explode("words").alias("word"), "blocked").groupBy("word").agg(F.count_if(~F.col("blocked")).alias("allow"), F.count_if("blocked").alias("block"))
+    counts, _ = written(found, "word_classes")
+    known, allow, block = counts.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
+    urls_allow, urls_block = urls.agg(F.count_if(~F.col("blocked")), F.count_if("blocked")).first()
+    more = SMOOTHING * known
+    weight = F.log((F.col("block") + SMOOTHING) / (block + more + 1e-9)) - F.log((F.col("allow") + SMOOTHING) / (allow + more + 1e-9))
+    return counts.select("word", weight.alias("weight")), log((urls_block + 1) / (urls_allow + 1))
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages (page_id, url, html): (page_id, host, path, rule, verdict, words, score), a row for each."""
     host, path = host_and_path(F.col("url"))
     urls = url_words(pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path")), unigrams_of(pages))
-    model = pages.sparkSession.sparkContext.broadcast(train(urls))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.value.score(w.as_py()) for w in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], ["page_id", "host", "path", "words", "score"])
-
-    scored = urls.select("page_id", "host", "path", "words").mapInArrow(run, "page_id long, host string, path string, words array<string>, score double")
+    weights, prior = train(urls)
+    # sorted, so that the sum doesn't depend on the order of rows
+    total = F.aggregate(F.sort_array(F.collect_list("weight")), F.lit(0.0), lambda x, y: x + y)
+    sums = urls.select("row", F.explode("words").alias("word")).join(weights, "word").groupBy("row").agg(total.alias("sum"))
+    scored = urls.join(sums, "row", "left").withColumn("score", F.lit(prior) + F.coalesce("sum", F.lit(0.0)))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("score") > BLOCK_AT, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, own).alias("verdict"), "words", "score")

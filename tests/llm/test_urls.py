@@ -2,6 +2,7 @@ import itertools
 import re
 
 import numpy as np
+import xxhash
 
 from hearsay.llm import urls
 
@@ -78,3 +79,14 @@ def test_counts_of_other_words_do_not_count_as_a_host_s(spark):
     html = "<p>" + "river stone " * 5 + f"{first} {second} " * 5000 + "</p>"
     found = urls.judged(spark.createDataFrame([(1, "http://riverstone.com/x", html)], "page_id long, url string, html string")).collect()
     assert found[0].words == ["river", "stone", "/x"]
+
+
+def test_no_word_takes_the_weight_of_another(spark):
+    def cell(word):
+        return xxhash.xxh64_intdigest("/" + word, 11) % (1 << 16)
+
+    other = next(w for w in words_but() if cell(w) == cell("prize"))
+    rows = [(k, f"http://casino.com/prize/{k}", "<p>casino green</p>") for k in range(40)] + [(k, f"http://green.com/{other}/{k}", "<p>casino green</p>") for k in range(40, 120)]
+    rows += [(200, "http://tree.com/prize", None), (201, f"http://tree.com/{other}", None)]
+    score = {r.page_id: r.score for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=()).collect()}
+    assert score[200] > score[201] + 4
