@@ -35,6 +35,8 @@ SHARPNESS = 8
 THRESHOLD = 0.3
 #: Documents compared at once.
 BLOCK = 256
+#: Words among which a word counts as seen before.
+WINDOW = 400
 
 _OTHER = 27
 _SIGNS = b"!#$%&*.,;:?|\"'()-/=<>@_"
@@ -56,7 +58,7 @@ def _classes() -> bytes:
 
 _TABLE = _classes()
 TRIGRAMS = CLASSES**3
-#: Terms beyond the trigrams: pairs of equal neighbouring words, words seen before nearby, lines seen before, capitals, signs and so on in proportion.
+#: Terms beyond the trigrams: pairs of equal neighbouring words, words seen before in their window (over all windows of the text), lines seen before, capitals, signs and so on in proportion.
 REPEATS = 6
 TERMS = TRIGRAMS + 16 * REPEATS
 
@@ -73,7 +75,7 @@ def _shares(text: bytes) -> list[float]:
         1 - len(set(lines)) / len(lines),
         np.count_nonzero(codes == 1) / letters,
         np.count_nonzero((codes > 3) & (codes < 28)) / max(1, len(codes)),
-        1 - len({*words[:400]}) / max(1, min(400, n)),
+        1 - sum(len({*words[at : at + WINDOW]}) for at in range(0, len(words), WINDOW)) / n,
     ]
 
 

@@ -59,3 +59,11 @@ def test_rejected_documents_go(spark):
     scores = {r.doc_id: r.predicted for r in quality.query(spark, DATA).collect()}
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(d for d, p in scores.items() if p)
     assert docs.select(quality.held_out(F.lit(None).cast("long"))).first()[0] is False
+
+
+def test_repetition_is_that_of_the_whole_text():
+    varied, same = b" ".join(b"w%d" % k for k in range(400)), b" ".join([b"w"] * 400)
+    assert quality._shares(varied)[5] == 0 and quality._shares(same)[5] == 1 - 1 / 400
+    for text in (varied + b" " + same, same + b" " + varied):
+        assert abs(quality._shares(text)[5] - (1 - 1 / 400) / 2) < 1e-9
+    assert abs(quality._shares(varied + b" a a b")[5] - 1 / 403) < 1e-9
