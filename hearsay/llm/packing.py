@@ -7,7 +7,8 @@ partition's bin count. Partitions that use more bins than the bound give their l
 up; those documents are exchanged among ever fewer partitions and packed again, until what is left fits one, or
 no exchange leaves less. No partition of any round has many more than PART_ROWS documents.
 
-Ids are those of the ``tokenizers`` library for the vocabulary: texts of ASCII and the Latin letters up to
+Ids are those of the ``tokenizers`` library for the vocabulary: its added tokens, read from the json file beside
+the ranks if there is one, stand for themselves wherever a text holds them; what is between them is split on its own. Texts of ASCII and the Latin letters up to
 U+024F are split by an equivalent expression of explicit ranges, others by the vocabulary's own, and each
 distinct piece is merged once a process.
 
@@ -18,6 +19,8 @@ row is packed; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import struct
 import zlib
@@ -50,7 +53,7 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[
 class ByteTokenizer(dict):
     """Little-endian 32-bit ids of texts; as a mapping, of pieces already merged."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
         import regex
         import tiktoken
 
@@ -58,6 +61,9 @@ class ByteTokenizer(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._merge = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._split = regex.compile(pattern).findall
+        self._added = {text: struct.pack("<I", number) for text, number in (added or {}).items()}
+        # as the library does: the leftmost, of those that begin there the longest
+        self._cut = re.compile(f"({'|'.join(map(re.escape, sorted(self._added, key=len, reverse=True)))})").split if self._added else None
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
@@ -66,6 +72,11 @@ class ByteTokenizer(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self._cut is None:
+            return self._between(text)
+        return b"".join([self._added[part] if k % 2 else self._between(part) for k, part in enumerate(self._cut(text))])
+
+    def _between(self, text: str) -> bytes:
         pieces = self._split(text) if _PLAIN.search(text) else _PIECES.findall(text)
         return b"".join([self[p] for p in pieces])
 
@@ -73,12 +84,25 @@ class ByteTokenizer(dict):
 _LOADED: dict[str, ByteTokenizer] = {}
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Texts and ids of the added tokens in the json file of the same name; none if there is no such file."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    odd = [t["content"] for t in found if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"added tokens that take blanks or whole words only: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 def tokenizer(ranks_path: str) -> ByteTokenizer:
     """One for each process and vocabulary file."""
     if ranks_path not in _LOADED:
         import public_tokenizers
 
-        _LOADED[ranks_path] = ByteTokenizer(ranks_path, public_tokenizers.PATTERN)
+        _LOADED[ranks_path] = ByteTokenizer(ranks_path, public_tokenizers.PATTERN, added_tokens(ranks_path))
     return _LOADED[ranks_path]
 
 

@@ -84,3 +84,12 @@ def test_bounds_hold():
     # any two of these exceed a bin; the volume alone says 6
     assert packing.lower_bound(np.array([33] * 10), 64) == 10
     assert packing.lower_bound(np.array([22] * 9), 64) >= 4  # two fit
+
+
+def test_added_tokens_are_one_id():
+    own, want = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    signs = ["<|endoftext|>", "<|endoftext|", "<|", "|>", " ", "  ", "\n", "a", "one page.", "'s", "9", "一", "É"]
+    for text in ["one page.<|endoftext|>Another", "<|endoftext|>", "<|endoftext|><|endoftext|> ", " <|endoftext|>  x", *("".join(rng.choices(signs, k=12)) for _ in range(500))]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode("one page.<|endoftext|>Another"), "<u4").tolist() == [505, 2443, 13, 50256, 6610]
