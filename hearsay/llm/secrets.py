@@ -1,7 +1,7 @@
 """Secrets in texts, false positives removed by a random forest.
 
-Candidates are long runs of key-like characters with a digit or a change of case, and quoted values assigned to
-names like ``password``. The forest sees a candidate's length, how its characters follow each other, how much
+Candidates are values of six characters or more, quoted or not, assigned to names like ``password`` or
+``DB_PASSWORD``, and elsewhere long runs of key-like characters with a digit or a change of case. The forest sees a candidate's length, how its characters follow each other, how much
 of it dictionary words cover, the path it comes from, and the words beside it. It is trained on labelled
 findings: those given, or FINDINGS made from rules with a fixed seed - tokens of common formats beside the
 words that go with them, and what scanners take for such: digests, identifiers, placeholders, numbers, names.
@@ -32,7 +32,12 @@ THRESHOLD = 0.5
 NEAR = 48
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
-_VALUE = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key|key)\b\"?\s{0,3}[=:]\s{0,3}([\"'])([^\"'\s]{6,200})\1")
+_VALUE = re.compile(
+    r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:password|passwd|pwd|secret|token|api_?key|key)\b[\"']?\s{0,3}(?:=>|:=|==?|:)\s{0,3}"
+    r"(?:([\"'])([^\"'\s]{6,})\1|([^\"'\s&<>,;=][^\"'\s&<>,;]{5,}))"
+)
+#: What may stand before such a name and belong to it.
+_PREFIX = re.compile(r"[A-Za-z0-9_.-]*\Z")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z][a-z]*[A-Z]")
 _PIECE = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}")
 _ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
@@ -72,25 +77,36 @@ def features(found: str, before: str, after: str, path: str) -> list[float]:
         n, log2(n), e, e / max(1.0, log2(min(n, 64))), float((kinds == 0).mean()), float((kinds == 3).mean()), float((kinds == 4).mean()),
         float(((kinds < 2) | ((codes > 64) & (codes < 71))).mean()), float((np.diff(kinds) != 0).mean()) if n > 1 else 0.0, float((step == 0).mean()) if n > 1 else 0.0,
         float((np.abs(step) == 1).mean()) if n > 1 else 0.0, covered / n, max(map(len, words), default=0) / n, float(not _PATH_WORDS.isdisjoint(re.findall("[a-z]+", path.lower()))),
-        sum(w in _SECRET_WORDS or any(w.endswith(f"_{x}") for x in ("key", "token", "secret", "password")) for w in beside), sum(w in _OTHER_WORDS for w in near),
+        sum(w in _SECRET_WORDS or any(w.endswith(f"_{x}") for x in ("key", "token", "secret", "password", "passwd", "pwd")) for w in beside), sum(w in _OTHER_WORDS for w in near),
         float(bool(_ASSIGNED.search(before))), float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(before)), found.count("-") / n,
     ]
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start of the name, start and end of the value."""
+    for m in _VALUE.finditer(text):
+        a, b = m.span(2) if m[1] else m.span(3)
+        b = b if m[1] else a + len(text[a:b].rstrip(".~-/:)]}"))
+        if b - a >= 6:
+            yield m.start() - len(_PREFIX.search(text[max(0, m.start() - NEAR) : m.start()])[0]), a, b
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans in code points, in order, without overlaps: runs first."""
-    spans = [m.span() for m in _RUN.finditer(text) if _MIXED.search(m[0])]
+    """Spans in code points, in order, without overlaps: assigned values, and what of runs is outside them and their names."""
+    values = list(_assigned(text)) if "=" in text or ":" in text else []
+    parts, at = [], 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        while at < len(values) and values[at][2] <= start:
+            at += 1
+        k = at
+        while k < len(values) and values[k][0] < end:
+            parts.append((start, values[k][0]))
+            start, k = max(start, values[k][2]), k + 1
+        parts.append((start, end))
+    spans = [(a, b) for a, b in parts if b - a >= 16 and _MIXED.search(text, a, b)]
     spans = [(a + len(x) - len(x.lstrip("=.~-/+")), b - len(x) + len(x.rstrip(".~-/"))) for a, b in spans for x in (text[a:b],)]
-    spans = [(a, b) for a, b in spans if b - a >= 16]
-    if '"' in text or "'" in text:
-        more = [m.span(2) for m in _VALUE.finditer(text)]
-        at = 0
-        for a, b in more:
-            while at < len(spans) and spans[at][1] <= a:
-                at += 1
-            if at == len(spans) or spans[at][0] >= b:
-                spans.insert(at, (a, b))
-    return spans
+    return sorted([*((a, b) for a, b in spans if b - a >= 16), *((a, b) for _, a, b in values)])
 
 
 def view(text: str, start: int, end: int, path: str) -> list[float]:
@@ -128,6 +144,14 @@ def made_findings(n: int = FINDINGS, seed: int = 1) -> tuple[np.ndarray, np.ndar
                 "_".join(rng.sample(words, rng.randint(3, 5))) + str(rng.randint(0, 99)), "/".join(rng.sample(words, 3)) + "/v2.html", run("0123456789", 16, 18, 22), "YOUR_" + rng.choice(["API_KEY", "TOKEN"]) + "_HERE_123", "example-" + "-".join(rng.sample(words, 2)) + "-0001", "1234567890abcdef1234567890", "2024-01-02T03:04:05.000", "-".join(rng.sample(words, 4)) + "-" + str(rng.randint(1, 2000)),
             ])
             path = rng.choice([path, "tests/fixtures/data.json", "docs/example.md"])
+        if k % 10 > 7:  # short values of names that tell
+            name = rng.choice(["password", "DB_PASSWORD", "passwd", "pwd", "secret", "api_key", "key", "token", "auth_token"])
+            sign, quote = rng.choice([" = ", "=", ": ", ":"]), rng.choice(['"', "", ""])
+            word = rng.choice([w for w in words if len(w) > 5])
+            if secret:
+                value = rng.choice([word + str(rng.randint(1, 9999)) + run("!#%$*", 1, 2), run(base64 + "!#%$*", 8, 9, 10, 12, 14), word[:4] + run("0123456789", 1, 2) + run(base64 + "!#%", 3, 5)])
+            else:
+                value = rng.choice([word, word, word.title(), word.upper(), f"${{{word.upper()}}}", f"config.{word}", f"{word}.{rng.choice(words)}", f"get_{word}()", "changeme", "undefined", "xxxxxxxx", "********", "{{" + word + "}}"])
         before, after = f"{prose()} {name}{sign}{quote}", f"{quote} {prose()}"
         x.append(features(value, before[-NEAR:], after[:NEAR], path))
         y.append(secret)

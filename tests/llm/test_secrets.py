@@ -40,3 +40,24 @@ def test_given_findings_train(spark):
     assert forest.scores(np.array([secrets.view(t, 8, 48, "p"), secrets.view("commit" + t[7:], 7, 47, "p")])).round().tolist() == [1, 0]
     none = secrets.train(spark.createDataFrame([], "text string, start int, end int, path string, label int"))
     assert none.scores(np.zeros((2, len(secrets.FEATURES)))).tolist() == [0.5, 0.5]
+
+
+def test_assigned_values_are_candidates_without_their_names():
+    long, key = "p!" * 150, "aB3dEfGhIjKlMnOpQr"
+    for text, *want in [
+        ("password: hunter2!x", "hunter2!x"), ('DB_PASSWORD="s3cr3t!x"', "s3cr3t!x"), ("dbPassword = s3cr3t!x.", "s3cr3t!x"), (f"secret = '{long}'", long), (f"see api_key={key}, then", key), (f"MY_API_KEY={key}", key),
+        (f"{key}/token={key}=", key, f"{key}="), (f"password='{key}!!x'", f"{key}!!x"), ('{"password": "hunter2!x"}', "hunter2!x"), ("pwd=hunter2!x&user=y", "hunter2!x"), (f"token={key[:8]} {key}", key[:8], key), ("monkey: bananas", ), ("the key: to it", ),
+    ]:
+        assert [text[a:b] for a, b in secrets.candidates(text)] == want, text
+
+
+def test_the_forest_tells_short_values_from_words():
+    forest = secrets.Forest(*secrets.made_findings())
+
+    def judged(text):
+        return [bool(s >= secrets.THRESHOLD) for a, b in secrets.candidates(text) for s in forest.scores(np.array([secrets.view(text, a, b, "src")]))]
+
+    for text in ("password: hunter2!x", 'DB_PASSWORD="s3cr3t!x"', "api_key=aB3dEfGhIjKlMnOpQrStUvWx"):
+        assert judged(text) == [True], text
+    for text in ("password: required", "token = undefined", "key: something"):
+        assert judged(text) == [False], text
