@@ -136,7 +136,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """nodes: distinct (fp, rep). Returns (u, v): links between representatives, enough to join every linked pair."""
+    """nodes: distinct (fp, rep), without nulls. Returns (u, v): links between representatives, enough to join every linked pair."""
     filed = F.explode(F.array(*(F.struct(F.lit(k).cast("short").alias("chain"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(key_masks()))))
     members = nodes.select("fp", "rep", filed.alias("at")).select("at.chain", "at.key", "fp", "rep")
     sizes = members.groupBy("chain", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -155,8 +155,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long, component_id) of every row of ``docs`` (doc_id, text)."""
     found, _ = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     nodes, _ = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    groups = components(links(nodes.where("rep is not null")))
-    label = nodes.join(groups, nodes.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # linked by fingerprint, so that those without a doc_id link others too
+    linked = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    groups = linked.union(linked.select(F.col("component").alias("node"), "component").distinct())
+    least = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("rep").alias("least"))
+    label = nodes.join(groups.join(least, "component"), nodes.fp == F.col("node"), "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
     return found.join(label, "fp").select("doc_id", "fp", "component_id")
 
 

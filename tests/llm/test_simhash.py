@@ -99,3 +99,20 @@ def test_links_of_random_and_dense_fingerprints(spark):
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d", "s"), (1, "A B c d", "s"), (5, "other words are here", "s"), (None, "a b c d", "s")], "doc_id long, text string, source string")
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(docs).collect()) == [0, 1, 5]
+
+
+def test_rows_without_doc_id_link_others(spark):
+    rng = random.Random(2)
+    words = rng.choices(["".join(rng.choices("abcdefg", k=5)) for _ in range(400)], k=600)
+
+    def far(a, b):
+        return (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+
+    texts = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in range(0, 600, 3)] + [" ".join(words[:-k]) for k in range(1, 40)]
+    bits = {t: t.encode() for t in texts}
+    fps = {t: simhash.fingerprint(b) for t, b in bits.items()}
+    first, bridge, last = next((a, b, c) for b in texts for a in texts if 0 < (fps[a] ^ fps[b]).bit_count() <= 3 for c in texts if 0 < (fps[b] ^ fps[c]).bit_count() <= 3 < (fps[a] ^ fps[c]).bit_count())
+    assert far(bits[first], bits[last]) > 3
+    rows = [(5, first, None), (None, bridge, None), (2, last, None), (None, "some other words are here", None)]
+    found = got(spark, rows)
+    assert found == brute(rows) and found[5] == {(f"{fps[first]:016x}", 2)} and (f"{fps[bridge]:016x}", 2) in found[None]
