@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from importlib import resources
 
-from hearsay.kernels.double_metaphone import _blanks
+from hearsay.native.text import blanks
 from hearsay.rules.grammar import lines
 
 LENGTH = 6
@@ -51,8 +51,8 @@ class DaitchMokotoff:
 
     def codes(self, word: str, branching: bool = True) -> list[str]:
         """Codes of six digits, in the order in which their branches arose; without branching, the first."""
-        blanks = _blanks()
-        word = "".join((c.lower()[:1] or c) for c in word if c not in blanks).translate(self.folding)
+        blank = blanks()
+        word = "".join((c.lower()[:1] or c) for c in word if c not in blank).translate(self.folding)
         # a branch is its digits and what was added last
         branches: dict[tuple[str, str | None], None] = {("", None): None}
         before, at = "", 0
@@ -77,7 +77,12 @@ class DaitchMokotoff:
         return self.codes(word, branching=False)[0]
 
 
+def built_in_text() -> str:
+    """Text of the rules that come with the package."""
+    return resources.files("hearsay.rules").joinpath("daitch_mokotoff.txt").read_text("utf-8")
+
+
 @lru_cache(2)
 def built_in(ascii_folding: bool = True) -> DaitchMokotoff:
     """The rules that come with the package."""
-    return DaitchMokotoff.parse(resources.files("hearsay.rules").joinpath("daitch_mokotoff.txt").read_text("utf-8"), ascii_folding)
+    return DaitchMokotoff.parse(built_in_text(), ascii_folding)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from hearsay.native.text import BLANKS
+from hearsay.native.text import blanks
 
 # Fixed values. One rule a line: pattern; primary; alternate, = for the same; characters taken, * for all that the
 # pattern matches; and what must hold (or, after !, must not hold) of the word. The first rule that fits decides.
@@ -148,7 +148,7 @@ def _rules() -> dict[str, list[tuple]]:
 
 def double_metaphone(word: str, max_length: int | None = 4) -> tuple[str, str]:
     """Primary and alternate code, each of at most max_length characters; None: any number."""
-    word = word.strip(_blanks()).upper()
+    word = word.strip(blanks()).upper()
     holds = {name: bool(p.search(word)) for name, p in _PROPERTIES.items()}
     rules, primary, alternate, at = _rules(), [], [], 1 if _SILENT_START.match(word) else 0
     while at < len(word):
@@ -161,8 +161,3 @@ def double_metaphone(word: str, max_length: int | None = 4) -> tuple[str, str]:
                 break
         at += step
     return "".join(primary)[:max_length], "".join(alternate)[:max_length]
-
-
-@lru_cache(1)
-def _blanks() -> str:
-    return "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{BLANKS}]", c))

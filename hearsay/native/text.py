@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,12 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = "\t-\r \u0085   -     　"
 
 
+@lru_cache(1)
+def blanks() -> str:
+    """All blank characters."""
+    return "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{BLANKS}]", c))
+
+
 def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from hearsay import functions as H
 from hearsay.kernels.beider_morse import BeiderMorse, NameType, RuleSet, RuleType
+from hearsay.kernels.daitch_mokotoff import DaitchMokotoff, built_in_text
 from hearsay.native import caverphone, match_rating
 from hearsay.operators import codes as ops
-from hearsay.plans import small_rules
+from hearsay.plans import oracles, small_rules
 
 
 def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +95,39 @@ def mra_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.match_rating_join(part_words(spark, sf_dir), segments, "word", "c_mktsegment")
 
 
+def accented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the words of documents that have a letter beyond ASCII, by the encoders that fold or know such letters."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", f"[^{ACCENTED_LETTERS}]+")).alias("word"))
+    words = texts.where(F.col("word").rlike("[^A-Za-z]")).groupBy("word").agg(F.count("*").alias("n"))
+    all_codes = F.array_join(F.array_sort(F.array_distinct(H.daitch_mokotoff_codes("word"))), "|")
+    return words.select("word", "n", H.cologne("word").alias("cologne"), H.match_rating("word").alias("match_rating"), all_codes.alias("daitch_mokotoff"))
+
+
+def dm_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents by the first code under a few rules of one's own, without folding."""
+    own = DaitchMokotoff.parse(small_rules.DAITCH_MOKOTOFF, ascii_folding=False)
+    coded = document_words(spark, sf_dir).select(H.daitch_mokotoff("word", own).alias("code"), "n")
+    return coded.groupBy("code").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_words"))
+
+
+def double_metaphone_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part words and words of documents of one Soundex code, and whether their primary and their alternate codes are the same."""
+    pairs = phonetic_join_soundex(spark, sf_dir).select("word", F.col("document_word").alias("other"))
+    return pairs.select("word", "other", H.double_metaphone_equal("word", "other").alias("same"), H.double_metaphone_equal("word", "other", alternate=True).alias("same_alternate"))
+
+
 def _engine(**more) -> BeiderMorse:
     return BeiderMorse(RuleSet.parse(small_rules.FILES), **more)
 
 
+def bm_document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents by their exact code under each name type's small rules, of BM_PHONEMES phonemes at most."""
+    words = document_words(spark, sf_dir)
+    made = [F.struct(F.lit(kind.value).alias("name_type"), H.beider_morse("word", _engine(name_type=kind, rule_type=RuleType.EXACT, max_phonemes=BM_PHONEMES)).alias("code")) for kind in NameType]
+    coded = words.select("n", F.explode(F.array(*made)).alias("c"))
+    return coded.groupBy("c.name_type", "c.code").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_words"))
+
+
 def bm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part words under the small rules of this package, by guessed and given languages, approximate and exact."""
     words, approx, exact = part_words(spark, sf_dir).distinct(), _engine(), _engine(rule_type=RuleType.EXACT, name_type=NameType.GENERIC, max_phonemes=10)
@@ -109,6 +139,12 @@ def bm_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_words(spark, sf_dir).distinct().select("word", F.array_join(H.beider_morse_languages("word", _engine()), "+").alias("languages"))
 
 
+#: Letters of the words that ``accented_words`` takes.
+ACCENTED_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Phonemes that are kept of a word in ``bm_document_words``.
+BM_PHONEMES = 4
+
+
 def _by_strict(c: Column) -> Column:
     return H.nysiis(c)
 
@@ -136,6 +172,10 @@ QUERIES = {
     "mra_match_pairs": mra_match_pairs,
     "bm_words": bm_words,
     "bm_languages": bm_languages,
+    "bm_document_words": bm_document_words,
+    "accented_words": accented_words,
+    "dm_own_rules": dm_own_rules,
+    "double_metaphone_equality": double_metaphone_equality,
 }
 
 # DuckDB has no back-references in patterns, so runs of each code are collapsed one after another.
@@ -176,26 +216,29 @@ def _caverphone_sql(steps, length: int) -> str:
     return f"substr({_steps('lower(word)', steps)} || '{'1' * length}', 1, {length})"
 
 
-def _mra_sql(word: str) -> str:
+def _mra_sql(name: str, folded: str | None = None) -> str:
+    """name: as it is written; folded: without accents."""
+    word = folded or name
     said = f"substr(upper({word}), 1, 1) || regexp_replace(substr(upper({word}), 2), '[AEIOU]', '', 'g')"
     for x in match_rating.CONSONANTS:
         said = f"replace({said}, '{x}{x}', '{x}')"
-    return f"CASE WHEN length({word}) < 2 THEN '' WHEN length({said}) > 6 THEN left({said}, 3) || right({said}, 3) ELSE {said} END"
+    return f"CASE WHEN strlen({name}) < 2 THEN '' WHEN length({said}) > 6 THEN left({said}, 3) || right({said}, 3) ELSE {said} END"
 
 
-# Letter by letter, with the letters before and after.
-_COLOGNE = f"""
-WITH {_WORDS},
-s AS (SELECT word, n, list_transform(generate_series(1, length(word)), lambda i: {{'c': substr(word, i, 1), 'b': CASE WHEN i > 1 THEN substr(word, i - 1, 1) ELSE '' END, 'a': substr(word, i + 1, 1), 'new': regexp_full_match(left(word, i - 1), 'H*')}}) AS l FROM w),
+def _cologne_sql(word: str) -> str:
+    """Tables s, t and u (word, n, d) over w (word, n): letter by letter, with the last letter before and the character after; - is no letter."""
+    return f"""c AS (SELECT word, n, regexp_replace({word}, '[^A-Z]+', '-', 'g') AS x FROM w),
+s AS (SELECT word, n, list_transform(generate_series(1, length(x)), lambda i: {{'c': substr(x, i, 1), 'b': right(replace(left(x, i - 1), '-', ''), 1), 'a': substr(x, i + 1, 1), 'new': regexp_full_match(left(x, i - 1), '[-H]*')}}) AS l FROM c),
 t AS (SELECT word, n, array_to_string(list_transform(l, lambda x: CASE
   WHEN x.c IN ('A','E','I','J','O','U','Y') THEN '0' WHEN x.c = 'B' OR x.c = 'P' AND x.a <> 'H' THEN '1' WHEN x.c IN ('D','T') AND x.a NOT IN ('C','S','Z') THEN '2'
   WHEN x.c IN ('F','P','V','W') THEN '3' WHEN x.c IN ('G','K','Q') THEN '4' WHEN x.c = 'X' AND x.b NOT IN ('C','K','Q') THEN '48' WHEN x.c IN ('S','Z') THEN '8'
   WHEN x.c = 'C' AND x.new THEN CASE WHEN x.a IN ('A','H','K','L','O','Q','R','U','X') THEN '4' ELSE '8' END
   WHEN x.c = 'C' THEN CASE WHEN x.b IN ('S','Z') OR x.a NOT IN ('A','H','K','O','Q','U','X') THEN '8' ELSE '4' END
-  WHEN x.c IN ('D','T','X') THEN '8' WHEN x.c = 'R' THEN '7' WHEN x.c = 'L' THEN '5' WHEN x.c IN ('M','N') THEN '6' ELSE '-' END), '') AS d FROM s),
-u AS (SELECT n, replace({_runs('d', '012345678')}, '-', '') AS d FROM t)
-SELECT left(d, 1) || replace(substr(d, 2), '0', '') AS code, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words FROM u GROUP BY 1
-"""
+  WHEN x.c IN ('D','T','X') THEN '8' WHEN x.c = 'R' THEN '7' WHEN x.c = 'L' THEN '5' WHEN x.c IN ('M','N') THEN '6' WHEN x.c = '-' THEN '' ELSE '-' END), '') AS d FROM s),
+u AS (SELECT word, n, replace({_runs('d', '012345678')}, '-', '') AS d FROM t)"""
+
+
+_COLOGNE = f"WITH {_WORDS}, {_cologne_sql('word')} SELECT left(d, 1) || replace(substr(d, 2), '0', '') AS code, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words FROM u GROUP BY 1"
 
 
 # Letter by letter; the two letters after D in DG and a front vowel are skipped.
@@ -278,3 +321,40 @@ ORACLES = {
     "phonetic_join_soundex": f"""WITH {_PARTS}, {_WORDS}, a AS (SELECT DISTINCT word, {_soundex_sql('word')} AS x FROM p), b AS (SELECT word AS document_word, n, {_soundex_sql('word')} AS y FROM w)
         SELECT word, document_word, n FROM a JOIN b ON x = y""",
 }
+
+_GROUPED = "CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_words"
+_PART_W = "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)"
+_DM = built_in_text()
+_DM_WORDS = oracles.daitch_mokotoff(_WORDS, _DM, branching=False)
+_ACCENTED = f"""w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[^{ACCENTED_LETTERS}]+')) AS word FROM documents) WHERE regexp_matches(word, '[^A-Za-z]') GROUP BY 1)"""
+_FOLDED = f"translate(replace(u.word, 'ß', 'ss'), '{match_rating.ACCENTED}', '{match_rating.PLAIN}')"
+
+
+def _bm(files_kind: str, rule_type: str, most: int, name: str, given: str | None = None) -> str:
+    return oracles.beider_morse(small_rules.FILES, name, rule_type, most, files_kind, given)
+
+
+ORACLES |= {
+    "double_metaphone_words": f'{oracles.double_metaphone(_WORDS)} SELECT "primary", alternate, {_GROUPED} FROM w JOIN dmeta USING (word) GROUP BY ALL',
+    "dm_words": f"{_DM_WORDS} SELECT code, {_GROUPED} FROM w JOIN dm USING (word) GROUP BY 1",
+    "dm_alternatives": f"{oracles.daitch_mokotoff(_WORDS, _DM)} SELECT code, {_GROUPED} FROM w JOIN dm USING (word) GROUP BY 1",
+    "dm_overlap_join": f"""{oracles.daitch_mokotoff(f"{_WORDS.replace('w AS', 'd AS', 1)}, {_PARTS}, w AS (SELECT word FROM d UNION SELECT word FROM p)", _DM)}
+        SELECT DISTINCT a.word AS left_value, b.word AS right_value FROM dm a JOIN dm b ON a.code = b.code WHERE a.word IN (SELECT word FROM p) AND b.word IN (SELECT word FROM d)""",
+    "mra_match_pairs": f"""WITH RECURSIVE {_PARTS}, a AS (SELECT DISTINCT word AS left_value, {_mra_sql('word')} AS a FROM p), b AS (SELECT DISTINCT c_mktsegment AS right_value, {_mra_sql('c_mktsegment')} AS b FROM customer),
+        pairs AS (SELECT DISTINCT a, b FROM a, b), {oracles.match_rating('pairs')}
+        SELECT left_value, right_value FROM a JOIN mra_rated USING (a) JOIN b USING (b) WHERE matches AND length(left_value) > 1 AND length(right_value) > 1
+        UNION SELECT left_value, right_value FROM a JOIN b ON left_value = right_value WHERE length(left_value) > 1""",
+    "bm_words": f"""WITH RECURSIVE {_PART_W}, {_bm('gen', 'approx', 20, 'bm_a')}, {_bm('gen', 'exact', 10, 'bm_e')}, {_bm('gen', 'exact', 10, 'bm_g', 'german')}
+        SELECT word, bm_a.code AS approx, bm_e.code AS exact, bm_g.code AS german FROM bm_a JOIN bm_e USING (word) JOIN bm_g USING (word)""",
+    "bm_languages": f"WITH {_PART_W} SELECT word, array_to_string({oracles.beider_morse_languages(small_rules.FILES)}, '+') AS languages FROM w",
+    "bm_document_words": f"WITH RECURSIVE {_WORDS}, "
+    + ", ".join(_bm(kind, "exact", BM_PHONEMES, f"bm_{kind}") for kind in ("gen", "ash", "sep"))
+    + " UNION ALL ".join(f" SELECT '{kind}' AS name_type, code, {_GROUPED} FROM w JOIN bm_{kind} USING (word) GROUP BY ALL" for kind in ("gen", "ash", "sep")),
+    "dm_own_rules": f"{oracles.daitch_mokotoff(_WORDS, small_rules.DAITCH_MOKOTOFF, branching=False, folding=False)} SELECT code, {_GROUPED} FROM w JOIN dm USING (word) GROUP BY 1",
+    "accented_words": f"""{oracles.daitch_mokotoff(_ACCENTED, _DM)}, {_cologne_sql("translate(upper(replace(word, 'ß', 'ss')), 'ÄÖÜ', 'AOU')")}
+        SELECT u.word, u.n, left(d, 1) || replace(substr(d, 2), '0', '') AS cologne, {_mra_sql('u.word', _FOLDED)} AS match_rating,
+               (SELECT string_agg(code, '|' ORDER BY code) FROM dm WHERE dm.word = u.word) AS daitch_mokotoff FROM u""",
+    "double_metaphone_equality": f"""{oracles.double_metaphone(f"{_WORDS.replace('w AS', 'd AS', 1)}, {_PARTS}, w AS (SELECT word FROM d UNION SELECT upper(word) AS word FROM p)")},
+        a AS (SELECT DISTINCT word, {_soundex_sql('word')} AS x FROM p), b AS (SELECT word AS other, {_soundex_sql('word')} AS y FROM d)
+        SELECT a.word, other, m."primary" = o."primary" AS same, m.alternate = o.alternate AS same_alternate FROM a JOIN b ON x = y JOIN dmeta m ON m.word = upper(a.word) JOIN dmeta o ON o.word = b.other""",
+}

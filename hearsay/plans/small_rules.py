@@ -44,8 +44,7 @@ _RULES_ANY = """
 "z" "" "" "(z[english]|ts[german])"
 """
 
-#: Texts by name, as a rule directory would hold them.
-FILES = {
+_GENERIC = {
     "gen_languages": "any\nenglish\ngerman\n",
     "gen_lang": "sch german+english true\nth$ english true\n[äöüß] german true\nw$ english true\nq english+german true\nll$ german false\n",
     "gen_rules_any": _RULES_ANY,
@@ -60,3 +59,22 @@ FILES = {
     "gen_exact_english": "",
     "gen_exact_german": '"ts" "^" "" "z"\n',
 }
+
+#: Texts by name, as a rule directory would hold them. The other name types have the same few rules under their own names.
+FILES = {name.replace("gen_", f"{kind}_", 1): text.replace("gen_", f"{kind}_") for kind in ("gen", "ash", "sep") for name, text in _GENERIC.items()}
+
+#: A few Daitch-Mokotoff rules and a folding of our own.
+DAITCH_MOKOTOFF = """
+"a" "0" "" ""
+"e" "0" "" "|7"
+"b" "7" "7" "7"
+"th" "3|0" "3" "|3"
+"t" "3" "3" "3"
+"he" "5" "" "5"
+"n" "6" "6" "6"
+"m" "6" "6" "6"
+"ing" "0" "65" "65|6"
+"ö" "0" "" ""
+ü=u
+é=e
+"""

@@ -23,3 +23,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def pytest_addoption(parser):
+    parser.addoption("--beider-morse", default=None, help="a directory of published Beider-Morse rules, and golden.tsv")

@@ -147,3 +147,55 @@ def test_kernels_on_odd_words():
         a, b = double_metaphone.double_metaphone(w)
         assert len(a) <= 4 and len(b) <= 4
     assert match_rating.least_rating(4) == 5 and match_rating.least_rating(13) == 1 and match_rating.rating("AB", "BA") == 4
+
+
+def test_rating_join_meets_few_other_pairs(spark):
+    rng = random.Random(3)
+    codes = sorted({"".join(rng.choices("BCDFGHKLMNPRST", k=rng.choice([3, 4, 5, 6, 6, 6]))) for _ in range(900)})
+    x, y = (spark.createDataFrame([(c,) for c in codes], f"{side}_code string") for side in ("left", "right"))
+    near = {tuple(r) for r in ops.match_rating_candidates(x, y).collect()}
+    want = {(a, b) for a in codes for b in codes if match_rating.codes_match(a, b)}
+    assert want <= near and len(near) < 1.2 * len(want) and len(near) < 0.1 * len(codes) ** 2
+
+
+def test_rating_join_of_codes_beyond_ascii(spark):
+    words = ["Øre", "Øra", "Ørd", "øre", "Łódź", "Łodz", "Lodz", "é", "ée", "日本", "日本語", "日", "a", "ab", "Kathryn", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    every = df.where("w is not null").select(F.col("w").alias("a")).crossJoin(df.where("w is not null").select(F.col("w").alias("b")))
+    want = {tuple(r) for r in every.where(H.match_rating_equal("a", "b")).collect()}
+    assert {tuple(r) for r in ops.match_rating_join(df, df, "w", "w").collect()} == want
+
+
+def test_overlap_join_deals_out_common_codes(spark):
+    words = [f"{a}{b}{c}" for a in ("Jack", "Pet", "Chor") for b in ("son", "ers", "a") for c in ("", "e", "i", "o", "h")]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    codes = {w: set(daitch_mokotoff.built_in().codes(w)) for w in words}
+    want = sorted((a, b) for a in words for b in words if codes[a] & codes[b])
+    for block in (10_000, 3):
+        assert sorted(tuple(r) for r in ops.overlap_join(df, df, "w", "w", H.daitch_mokotoff_codes, block).collect()) == want
+
+
+def test_on_error(spark):
+    words = ["Müller", "Thompson", None]
+    assert column_codes(spark, lambda c: H.soundex(c, on_error="null"), words) == [None, "T512", None]
+    assert column_codes(spark, lambda c: H.soundex(c, on_error="raise"), words[1:]) == ["T512", None]
+    for encode in (H.soundex, H.refined_soundex):
+        with pytest.raises(Exception, match="no code for Müller"):
+            column_codes(spark, lambda c: encode(c, on_error="raise"), words)
+    with pytest.raises(Exception, match="no code for abcdeé"):
+        column_codes(spark, lambda c: H.nysiis(c, on_error="raise"), ["abcdeé"])
+    with pytest.raises(ValueError):
+        H.caverphone2("w", on_error="skip")
+
+
+def test_difference_of_any_encoder(spark):
+    df = spark.createDataFrame([("Thompson", "Thomson"), ("Smith", "Xu"), (None, "a")], "a string, b string")
+    got = df.select(H.difference("a", "b", H.caverphone2)).collect()
+    assert [r[0] for r in got] == [7, 7, None]
+
+
+def test_options_and_pairs_in_sql(spark):
+    names = H.register_options(spark)
+    assert len(names) == 8
+    row = spark.sql("SELECT phonetic_nysiis_full('PHILLIPSON') AS a, phonetic_metaphone_of('AXEAXEAXE', 6) AS b, phonetic_soundex_difference('Smith', 'Smythe') AS c, phonetic_refined_soundex_difference('Smithers', 'Smythers') AS d, phonetic_daitch_mokotoff_codes('Jackson') AS e, phonetic_phonex_of('123 testsss', 4) AS f").first()
+    assert tuple(row) == ("FALAPSAN", "AKSKSK", 4, 8, ["154600", "145460", "454600", "445460"], "T230")

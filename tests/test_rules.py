@@ -92,3 +92,39 @@ def test_columns_and_sources(spark, small, tmp_path):
     assert rules.codes("äb") == ["100000"] and DaitchMokotoff.parse('"a" "1" "2" "3"\nä=a\n', False).codes("äa") == ["100000"]
     assert spark.createDataFrame([("aa",)], "w string").select(H.daitch_mokotoff("w", rules).alias("c")).first().c == "130000"
     assert F.col("x") is not None
+
+
+def test_rule_sets_are_compiled_once_a_worker(small):
+    import pickle
+
+    a, b = (pickle.loads(pickle.dumps(BeiderMorse(small))) for _ in range(2))
+    assert a.rule_set is b.rule_set and a.encode("schwartz") == BeiderMorse(small).encode("schwartz")
+
+
+def test_name_types_have_rules_of_their_own(small):
+    for kind in NameType:
+        assert BeiderMorse(small, kind, RuleType.EXACT).encode("thech")
+    assert BeiderMorse(small, NameType.ASHKENAZI).encode("van") == "" != BeiderMorse(small, NameType.GENERIC).encode("van")
+
+
+def test_language_sets_and_alternatives_as_columns(spark, small):
+    df = spark.createDataFrame([(["a", "b"], ["b", "c"]), (None, ["b"]), (["a"], ["b"]), (None, None)], "x array<string>, y array<string>")
+    rows = df.select(H.languages_both("x", "y"), H.languages_either("x", "y"), H.one_language("x")).collect()
+    assert [tuple(r) for r in rows] == [(["b"], ["a", "b", "c"], None), (["b"], None, None), ([], ["a", "b"], "a"), (None, None, None)]
+    got = spark.createDataFrame([("van thech",), (None,)], "w string").select(H.beider_morse_alternatives("w", BeiderMorse(small)).alias("a")).collect()
+    assert got[0].a == alternatives(BeiderMorse(small).encode("van thech")) and len(got[0].a) == 2 and got[1].a is None
+
+
+def test_published_rules(request):
+    """Held against codes and guesses in a directory given with --beider-morse: rule files, and golden.tsv of name type, rule type, name, code."""
+    import pathlib
+
+    directory = request.config.getoption("--beider-morse")
+    if not directory:
+        pytest.skip("no directory of published rules given")
+    rules = RuleSet.parse({p.stem: p.read_text("utf-8") for p in pathlib.Path(directory).glob("*.txt")})
+    golden = pathlib.Path(directory) / "golden.tsv"
+    rows = [x.split("\t") for x in golden.read_text("utf-8").splitlines() if x] if golden.exists() else []
+    for kind, rule_type, name, code in rows:
+        assert BeiderMorse(rules, NameType(kind), RuleType(rule_type)).encode(name) == code
+    assert all(BeiderMorse(rules, NameType(k)).encode("Rosenberg") for k in rules.languages)
