@@ -1,10 +1,12 @@
 """Secrets in texts, false positives removed by a random forest.
 
-Candidates are values of six characters or more, quoted or not, assigned to names like ``password`` or
-``DB_PASSWORD``, and elsewhere long runs of key-like characters with a digit or a change of case. The forest sees a candidate's length, how its characters follow each other, how much
-of it dictionary words cover, the path it comes from, and the words beside it. It is trained on labelled
-findings: those given, or FINDINGS made from rules with a fixed seed - tokens of common formats beside the
-words that go with them, and what scanners take for such: digests, identifiers, placeholders, numbers, names.
+Candidates are private key blocks as a whole; values of six characters or more assigned to names like ``password`` or
+``DB_PASSWORD``, of any length, in quotes also with blanks, without them up to a blank, a quote, a comma, a semicolon, an angle
+bracket or the next ``&name=``; and elsewhere runs of 16 key-like characters or more with a digit or a change of case. The
+forest sees a candidate's length, how its characters follow each other, how much of it dictionary words cover, the path it
+comes from, and the words beside it. It is trained on labelled findings: those given, or FINDINGS made from rules with a
+fixed seed, as no table labels secrets - tokens of common formats beside the words that go with them, and what scanners take
+for such: digests, identifiers, placeholders, numbers, names, sentences.
 
 Defined cases: a null text or path is empty; a null doc_id and repeated rows each come out; an empty table gives no
 rows; a document without a candidate gives no row; other columns are ignored.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from hearsay.llm.common import table
 
 #: Findings made for training; also the most that are taken of those given.
-FINDINGS = 4000
+FINDINGS = 8000
 TREES, DEPTH, LEAF = 40, 8, 4
 THRESHOLD = 0.5
 NEAR = 48
@@ -34,8 +37,9 @@ NEAR = 48
 _RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 _VALUE = re.compile(
     r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:password|passwd|pwd|secret|token|api_?key|key)\b[\"']?\s{0,3}(?:=>|:=|==?|:)\s{0,3}"
-    r"(?:([\"'])([^\"'\s]{6,})\1|([^\"'\s&<>,;=][^\"'\s&<>,;]{5,}))"
+    r"(?:\"([^\"\r\n]{6,})\"|'([^'\r\n]{6,})'|([^\"'\s&<>,;=](?:[^\"'\s&<>,;]|&(?!\w+=)){5,}))"
 )
+_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 #: What may stand before such a name and belong to it.
 _PREFIX = re.compile(r"[A-Za-z0-9_.-]*\Z")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z][a-z]*[A-Z]")
@@ -85,15 +89,32 @@ def features(found: str, before: str, after: str, path: str) -> list[float]:
 def _assigned(text: str) -> Iterator[tuple[int, int, int]]:
     """Start of the name, start and end of the value."""
     for m in _VALUE.finditer(text):
-        a, b = m.span(2) if m[1] else m.span(3)
-        b = b if m[1] else a + len(text[a:b].rstrip(".~-/:)]}"))
+        a, b = m.span(m.lastindex)
+        b = b if m.lastindex < 3 else a + len(text[a:b].rstrip(".~-/:)]}"))
         if b - a >= 6:
             yield m.start() - len(_PREFIX.search(text[max(0, m.start() - NEAR) : m.start()])[0]), a, b
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
+    """Private key blocks from their first line to their last; without a last line there is none."""
+    at = 0
+    while m := _BLOCK.search(text, at):
+        last = f"-----END {m[1]}-----"
+        end = text.find(last, m.end())
+        if end < 0:
+            at = m.end()
+            continue
+        at = end + len(last)
+        yield m.start(), m.start(), at
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans in code points, in order, without overlaps: assigned values, and what of runs is outside them and their names."""
+    """Spans in code points, in order, without overlaps: key blocks, assigned values outside them, and what of runs is outside both and the values' names."""
     values = list(_assigned(text)) if "=" in text or ":" in text else []
+    if blocks := list(_blocks(text)) if "PRIVATE KEY-----" in text else []:
+        starts = [a for a, *_ in blocks]
+        values = [v for v in values if not (k := bisect_left(starts, v[2])) or blocks[k - 1][2] <= v[0]]
+        values = sorted([*values, *blocks])
     parts, at = [], 0
     for m in _RUN.finditer(text):
         start, end = m.span()
@@ -152,6 +173,17 @@ def made_findings(n: int = FINDINGS, seed: int = 1) -> tuple[np.ndarray, np.ndar
                 value = rng.choice([word + str(rng.randint(1, 9999)) + run("!#%$*", 1, 2), run(base64 + "!#%$*", 8, 9, 10, 12, 14), word[:4] + run("0123456789", 1, 2) + run(base64 + "!#%", 3, 5)])
             else:
                 value = rng.choice([word, word, word.title(), word.upper(), f"${{{word.upper()}}}", f"config.{word}", f"{word}.{rng.choice(words)}", f"get_{word}()", "changeme", "undefined", "xxxxxxxx", "********", "{{" + word + "}}"])
+        if k % 20 in (10, 11):  # in quotes, with blanks, or long
+            name, quote = rng.choice(["password", "secret", "DB_PASSWORD", "key", "token"]), rng.choice("\"'")
+            sign = rng.choice([" = ", "=", ": "])
+            if secret:
+                value = rng.choice([" ".join(run(base64 + "!#%$*", 4, 6, 9) for _ in range(rng.randint(2, 5))), run(base64 + "!#%+/ ", 80, 200, 300), rng.choice(words).title() + " " + run("0123456789", 3, 4) + " " + run(base64 + "!#%", 6, 8)])
+            else:
+                value = " ".join(rng.sample(words, rng.randint(2, 12))) + rng.choice(["", ".", "!"])
+        if k % 100 == 13:
+            kind = rng.choice(["", "RSA ", "EC ", "OPENSSH "])
+            name, sign, quote = "", "", ""
+            value = f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(run(base64 + "+/", 64) for _ in range(rng.randint(1, 26))) + f"\n-----END {kind}PRIVATE KEY-----"
         before, after = f"{prose()} {name}{sign}{quote}", f"{quote} {prose()}"
         x.append(features(value, before[-NEAR:], after[:NEAR], path))
         y.append(secret)
@@ -188,7 +220,8 @@ class Forest:
                 gain[(values[1:] == values[:-1]) | (n < LEAF) | (len(order) - n < LEAF)] = -1
                 at = int(gain.argmax())
                 if gain[at] > best[0]:
-                    best = (gain[at], f, (values[at] + values[at + 1]) / 2)
+                    middle = (values[at] + values[at + 1]) / 2
+                    best = (gain[at], f, middle if middle < values[at + 1] else values[at])
             if best[1] >= 0:
                 right = x[rows, best[1]] > best[2]
                 nodes[node][:4] = [best[1], best[2], len(nodes), len(nodes) + 1]
