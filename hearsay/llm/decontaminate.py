@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.llm.common import table
+from hearsay.llm.common import table, written
 
 WINDOW = 10
 GRAM = 7
@@ -44,7 +44,8 @@ def fingerprints(texts: DataFrame, keys: list[str], context: bool) -> DataFrame:
 
     least = F.least(*(gram(k) for k in range(span)))
     before = F.least(*(gram(k) for k in range(-1, span - 1)))
-    rows = texts.select(*keys, "words", "hashes", F.posexplode("hashes").alias("at", "_")).where(f"at <= size(hashes) - {WINDOW}")
+    # outer: else Spark would work the array out once more to leave out empty ones
+    rows = texts.select(*keys, "words", "hashes", F.posexplode_outer("hashes").alias("at", "_")).where(f"at <= size(hashes) - {WINDOW}")
     kept = rows.where((F.col("at") % span == 0) | (least != before))
     more = [F.slice("words", F.col("at") + 1, WINDOW + span - 1).alias("near")] if context else []
     return kept.select(*keys, least.alias("print"), "at", *more)
@@ -84,11 +85,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = near.select(*keys, "at", "near", F.explode(F.sequence(F.lit(0), F.size("near") - WINDOW)).alias("shift")).select(
         *keys, (F.col("at") + F.col("shift")).alias("start"), F.lit(WINDOW).alias("width"), _text("near", F.col("shift") + 1, F.lit(WINDOW)).alias("window")
     )
-    if not short.isEmpty():  # only then is every word a seed
-        near = hashed.select(*keys, "words", F.posexplode("hashes").alias("start", "print")).select(*keys, "start", "print", F.slice("words", F.col("start") + 1, WINDOW - 1).alias("near"))
-        near = near.join(short, "print").where(F.size("near") >= F.col("width"))
-        found = found.union(near.select(*keys, "start", "width", _text("near", F.lit(1), F.col("width")).alias("window")))
-    hits = found.join(distinct_windows, ["window", "width"], "left_semi").distinct()
+    if not short.isEmpty():  # only then is every word a seed; a benchmark too large to broadcast would have all words shuffled for nothing
+        every = hashed.select(*keys, "words", F.posexplode_outer("hashes").alias("start", "print")).where("print is not null")
+        few = every.select(*keys, "start", "print", F.slice("words", F.col("start") + 1, WINDOW - 1).alias("near")).join(short, "print").where(F.size("near") >= F.col("width"))
+        found = found.union(few.select(*keys, "start", "width", _text("near", F.lit(1), F.col("width")).alias("window")))
+    # written, as the words hit and the items hit are both counted from it
+    hits, _ = written(found.join(distinct_windows, ["window", "width"], "left_semi").distinct(), "hits")
 
     # words covered by the union of a text's hit windows: each adds what reaches beyond those before it
     reach = F.max(F.expr("start + width")).over(Window.partitionBy(*keys).orderBy("start", "width").rowsBetween(Window.unboundedPreceding, -1))
