@@ -117,7 +117,7 @@ def double_metaphone_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _engine(**more) -> BeiderMorse:
-    return BeiderMorse(RuleSet.parse(small_rules.FILES), **more)
+    return BeiderMorse(RuleSet.parse(small_rules.ALL_TYPES), **more)
 
 
 def bm_document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +331,7 @@ _FOLDED = f"translate(replace(u.word, 'ß', 'ss'), '{match_rating.ACCENTED}', '{
 
 
 def _bm(files_kind: str, rule_type: str, most: int, name: str, given: str | None = None) -> str:
-    return oracles.beider_morse(small_rules.FILES, name, rule_type, most, files_kind, given)
+    return oracles.beider_morse(small_rules.ALL_TYPES, name, rule_type, most, files_kind, given)
 
 
 ORACLES |= {
@@ -346,7 +346,7 @@ ORACLES |= {
         UNION SELECT left_value, right_value FROM a JOIN b ON left_value = right_value WHERE length(left_value) > 1""",
     "bm_words": f"""WITH RECURSIVE {_PART_W}, {_bm('gen', 'approx', 20, 'bm_a')}, {_bm('gen', 'exact', 10, 'bm_e')}, {_bm('gen', 'exact', 10, 'bm_g', 'german')}
         SELECT word, bm_a.code AS approx, bm_e.code AS exact, bm_g.code AS german FROM bm_a JOIN bm_e USING (word) JOIN bm_g USING (word)""",
-    "bm_languages": f"WITH {_PART_W} SELECT word, array_to_string({oracles.beider_morse_languages(small_rules.FILES)}, '+') AS languages FROM w",
+    "bm_languages": f"WITH {_PART_W} SELECT word, array_to_string({oracles.beider_morse_languages(small_rules.ALL_TYPES)}, '+') AS languages FROM w",
     "bm_document_words": f"WITH RECURSIVE {_WORDS}, "
     + ", ".join(_bm(kind, "exact", BM_PHONEMES, f"bm_{kind}") for kind in ("gen", "ash", "sep"))
     + " UNION ALL ".join(f" SELECT '{kind}' AS name_type, code, {_GROUPED} FROM w JOIN bm_{kind} USING (word) GROUP BY ALL" for kind in ("gen", "ash", "sep")),

@@ -44,7 +44,8 @@ _RULES_ANY = """
 "z" "" "" "(z[english]|ts[german])"
 """
 
-_GENERIC = {
+#: Texts by name, as a rule directory would hold them.
+FILES = {
     "gen_languages": "any\nenglish\ngerman\n",
     "gen_lang": "sch german+english true\nth$ english true\n[äöüß] german true\nw$ english true\nq english+german true\nll$ german false\n",
     "gen_rules_any": _RULES_ANY,
@@ -60,8 +61,8 @@ _GENERIC = {
     "gen_exact_german": '"ts" "^" "" "z"\n',
 }
 
-#: Texts by name, as a rule directory would hold them. The other name types have the same few rules under their own names.
-FILES = {name.replace("gen_", f"{kind}_", 1): text.replace("gen_", f"{kind}_") for kind in ("gen", "ash", "sep") for name, text in _GENERIC.items()}
+#: The same few rules for all three name types, each under its own names.
+ALL_TYPES = {name.replace("gen_", f"{kind}_", 1): text.replace("gen_", f"{kind}_") for kind in ("gen", "ash", "sep") for name, text in FILES.items()}
 
 #: A few Daitch-Mokotoff rules and a folding of our own.
 DAITCH_MOKOTOFF = """

@@ -101,7 +101,8 @@ def test_rule_sets_are_compiled_once_a_worker(small):
     assert a.rule_set is b.rule_set and a.encode("schwartz") == BeiderMorse(small).encode("schwartz")
 
 
-def test_name_types_have_rules_of_their_own(small):
+def test_name_types_have_rules_of_their_own():
+    small = RuleSet.parse(small_rules.ALL_TYPES)
     for kind in NameType:
         assert BeiderMorse(small, kind, RuleType.EXACT).encode("thech")
     assert BeiderMorse(small, NameType.ASHKENAZI).encode("van") == "" != BeiderMorse(small, NameType.GENERIC).encode("van")
