@@ -2,12 +2,12 @@
 
 Vectors become integers. A shard's tree splits at medians of the widest dimension and keeps a tight
 bounding box of each node. A query takes the nodes best first, by the largest inner product that any
-point of the box could have, and leaves out those whose bound is below the k-th score known so far. The
-k-th scores of a first shard are propagated to the queries before they meet the others, so those begin
-with a threshold. Bounds of a block of queries and all leaves are two matrix products.
+point of the box could have, and leaves out those whose bound is below the k-th score known so far. Shards
+come in waves, each WAVE times the one before; a query's k-th score over all waves so far is propagated to the next,
+which begins with it as threshold. Bounds of some queries and all boxes are two matrix products.
 
-Queries meet shards in pairs of a block of queries and a shard, both of bounded size, so that neither
-side is held as a whole anywhere.
+A unit of work is a shard and a block of queries, both of bounded size. It builds its shard's tree once; its queries
+stream past that tree, BATCH_QUERIES at a time, and aren't held.
 
 Defined cases: vectors that are null, or hold a null or a component that isn't finite, take no part, as do rows
 without an id; repeated rows count once, and of rows of one id with different vectors the least vector counts;
@@ -17,20 +17,23 @@ vectors of different lengths don't meet; fewer candidates than k: all of them; o
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm.common import table, written
 
 K = 5
 SCALE = 256
-#: Candidates in a shard, and queries in a block, about.
+#: Candidates in a shard, and queries in a block, about; queries that a tree answers at a time.
 SHARD_ROWS = 16_384
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 65_536
+BATCH_QUERIES = 2_048
+WAVE = 4
 LEAF_ROWS = 256
 
 
@@ -111,32 +114,53 @@ def search(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, floor: np.nda
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _FOUND_DDL = "query_id long, vec_id long, score long"
-
-
-def _matrix(rows: pa.Table) -> np.ndarray:
-    col = rows.column("vector").combine_chunks()
-    return np.asarray(col.flatten()).reshape(len(col), -1)
-
-
-def _unit(k: int):
-    def run(key, queries, shard):
-        out: list[list] = [[], [], []]
-        if len(queries) and len(shard):
-            ids = queries.column("vec_id").to_numpy()
-            floor = queries.column("floor").to_numpy()
-            for query, own in zip(ids.tolist(), search(build(_matrix(shard), shard.column("vec_id").to_numpy()), _matrix(queries), ids, floor, k)):
-                for score, other in own:
-                    for col, x in zip(out, (query, -other, score)):
-                        col.append(x)
-        return pa.table([pa.array(c, pa.int64()) for c in out], schema=_FOUND)
+_UNIT = ["dim", "shard", "block", "asks"]
+
+
+def _matrix(rows: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(rows.column("vector").flatten()).reshape(len(rows), -1)
+
+
+def _answers(tree: Tree, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    ids = queries.column("vec_id").to_numpy()
+    out: list[list] = [[], [], []]
+    for query, own in zip(ids.tolist(), search(tree, _matrix(queries), ids, queries.column("floor").to_numpy(), k)):
+        for score, other in own:
+            for col, x in zip(out, (query, -other, score)):
+                col.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_FOUND)
+
+
+def _units(k: int):
+    """Rows sorted by unit, a unit's points before its queries: what the queries find among the points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, points, ids, tree = None, [], [], None
+        for batch in batches:
+            places = np.stack([batch.column(c).to_numpy() for c in _UNIT])
+            cuts = (np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(batch)] if len(batch) else []):
+                *unit, asks = places[:, a].tolist()
+                if unit != at:
+                    at, points, ids, tree = unit, [], [], None
+                if not asks:
+                    points.append(_matrix(batch.slice(a, b - a)))
+                    ids.append(batch.column("vec_id").slice(a, b - a).to_numpy())
+                    continue
+                if points:
+                    tree = build(np.concatenate(points), np.concatenate(ids))
+                    points, ids = [], []
+                if tree:
+                    for c in range(a, b, BATCH_QUERIES):
+                        yield _answers(tree, batch.slice(c, min(b, c + BATCH_QUERIES) - c), k)
 
     return run
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """Per query the k best by score, then smaller id, of what the shards found: k at most from each, above the propagated threshold."""
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", (-F.col("b.less")).alias("score"))
+    """Per query the k best by score, then smaller id, of what the shards found."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def integers(vector: Column) -> Column:
@@ -154,23 +178,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SH
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    least = -(2**62)
     again = vectors.sparkSession.read.schema(points.schema).parquet(path)  # columns of its own for the joins
+    least = F.lit(-(2**62)).cast("long")
     queries = again.where("is_query").select("vec_id", "vector", "dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    by = ["dim", "shard", "block"]
+    columns = [*_UNIT, "vec_id", "vector", "floor"]
 
     def met(asking: DataFrame, first: int, last: int) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(first), F.lit(last)))
-        left = asking.withColumn("shard", every).groupBy(*by)
-        right = dealt.where(F.col("shard").between(first, last)).select("vec_id", "vector", "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).groupBy(*by)
-        return left.cogroup(right).applyInArrow(_unit(k), _FOUND_DDL)
-
-    start, _ = written(met(queries.withColumn("floor", F.lit(least)), 0, 0), "found")
-    if shards == 1:
-        return _best(start, k)
-    kth = start.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
-    known = queries.join(kth, queries.vec_id == kth.query_id, "left").select(*queries.columns, F.coalesce("kth", F.lit(least)).alias("floor"))
-    return _best(start.union(met(known, 1, shards - 1)), k)
+        left = asking.withColumns({"shard": F.explode(F.sequence(F.lit(first), F.lit(last))), "asks": F.lit(1)})
+        right = dealt.where(F.col("shard").between(first, last)).withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "asks": F.lit(0), "floor": least})
+        units = right.select(columns).union(left.select(columns)).repartition(*_UNIT[:-1])
+        return units.sortWithinPartitions(*_UNIT).mapInArrow(_units(k), _FOUND_DDL)
+
+    asking, best, first, wave = queries.withColumn("floor", least), None, 0, 1
+    while first < shards:
+        last = min(first + wave, shards) - 1
+        now = met(asking, first, last)
+        best, _ = written(_best(now if best is None else now.unionByName(best.drop("rank")), k), "best")
+        kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("of"), "score")
+        asking = queries.join(kth, queries.vec_id == kth["of"], "left").select(*queries.columns, F.coalesce("score", least).alias("floor"))
+        first, wave = last + 1, wave * WAVE
+    return best
 
 
 def query(spark, sf_dir: str) -> DataFrame:

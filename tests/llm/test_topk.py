@@ -57,3 +57,21 @@ def test_pruning_leaves_boxes_out():
     got = topk.search(tree, q, np.array([-1]), np.array([-(2**62)]))[0]
     want = sorted(((int(s), -i) for i, s in enumerate(points @ q[0])), reverse=True)[:5]
     assert got == want and len(asked) < len(tree.ranges) / 3
+
+def test_a_tree_is_built_once_for_its_unit(monkeypatch):
+    import pyarrow as pa
+
+    built = []
+    real = topk.build
+    monkeypatch.setattr(topk, "build", lambda points, ids: built.append(len(ids)) or real(points, ids))
+    monkeypatch.setattr(topk, "BATCH_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    rows = [(2, s, 0, a, i, rng.integers(-9, 9, 2).tolist(), -(2**62)) for s in (0, 1, 3) for a, n in ((0, 30 if s != 3 else 0), (1, 20 if s != 1 else 0)) for i in range(n)]
+    schema = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("asks", pa.int32()), ("vec_id", pa.int64()), ("vector", pa.list_(pa.int64())), ("floor", pa.int64())])
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    found = [r for b in topk._units(5)(whole.slice(a, 7) for a in range(0, len(whole), 7)) for r in b.to_pylist()]
+    assert built == [30]
+    points = {r[4]: r[5] for r in rows if r[1] == 0 and r[3] == 0}
+    for r in (r for r in rows if r[1] == 0 and r[3] == 1):
+        want = sorted((-sum(a * b for a, b in zip(r[5], p)), i) for i, p in points.items() if i != r[4])[:5]
+        assert sorted(-f["score"] for f in found if f["query_id"] == r[4]) == [s for s, _ in want]
