@@ -108,11 +108,13 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
 
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     numbered = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row"), F.sha1(payload).alias("digest"))
-    long = F.when(F.octet_length("payload") >= REVISIT_BYTES, F.col("digest"))
     pages_of = numbered.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max("row").alias("row"))
     last = pages_of.groupBy("digest").agg(F.sum("n").alias("all"), F.max(F.struct("page_id", "n", "row")).alias("to")).where("all > 1")
-    known = last.select(F.col("digest").alias("of"), F.col("to.page_id").alias("to_page"), F.col("to.n").alias("to_n"), F.col("to.row").alias("to_row"))
-    joined = numbered.join(known, long == known["of"], "left").drop("of")
+    # written, so that its size is known when the join is planned: payloads move only if it is too large for a broadcast
+    known, _ = written(last.select(F.col("digest").alias("of"), F.col("to.page_id").alias("to_page"), F.col("to.n").alias("to_n"), F.col("to.row").alias("to_row")), "repeated")
+    # short payloads find none; their keys are dealt out
+    key = F.when(F.octet_length("payload") >= REVISIT_BYTES, F.col("digest")).otherwise(F.col("row").cast("string"))
+    joined = numbered.withColumn("key", key).join(known, F.col("key") == F.col("of"), "left").drop("key", "of")
     rows = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
     rows.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
