@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 from hearsay.llm.common import remove, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A key that more than one in SHARES rows have is hot; there are fewer than SHARES such keys in tables of any size.
+SHARES = 1000
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows``, of which there are at most ``total``, with ``keyed`` (one row a key, n: the rows that have it), less n.
+
+    Rows of hot keys meet them by a broadcast, which takes fewer than SHARES rows of ``keyed``, and stay where they are.
+    """
+    hot = F.broadcast(keyed.where(F.col("n") > total / SHARES).drop("n"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= total / SHARES).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return hot_join(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = hot_join(edges, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -27,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: (u, v) of longs, in any direction, loops and repeats allowed; rows with a null are ignored.
     Returns (node, component). No edges: no rows. Groups are contracted by per-key minima joined back to
-    the edges, so a node with very many neighbours is combined before its shuffle and its join can be split.
+    the edges; a node with very many neighbours is combined before its shuffle, and its edges aren't shuffled to the join.
     """
     spark = edges.sparkSession
     start = edges.where("u is not null and v is not null and u <> v")
@@ -38,6 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
         if sums == old or not sums[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         old = sums
-        after, new_path = written(_small_star(_large_star(now)), "edges")
+        # the large star has no more edges than there were
+        after, new_path = written(_small_star(_large_star(now, sums[0]), sums[0]), "edges")
         remove(spark, path)
         now, path = after, new_path

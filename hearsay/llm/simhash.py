@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm.common import written
-from hearsay.llm.graph import components
+from hearsay.llm.graph import components, hot_join
 
 SHINGLE = 3
 SEED = 42
@@ -154,13 +154,14 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long, component_id) of every row of ``docs`` (doc_id, text)."""
     found, _ = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes, _ = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes, _ = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     # linked by fingerprint, so that those without a doc_id link others too
     linked = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
     groups = linked.union(linked.select(F.col("component").alias("node"), "component").distinct())
     least = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("rep").alias("least"))
-    label = nodes.join(groups.join(least, "component"), nodes.fp == F.col("node"), "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    return found.join(label, "fp").select("doc_id", "fp", "component_id")
+    label, _ = written(nodes.join(groups.join(least, "component"), nodes.fp == F.col("node"), "left").select("fp", "n", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")), "labels")
+    # one fingerprint may be that of very many copies
+    return hot_join(found, label, "fp", label.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm.common import written
-from hearsay.llm.graph import components
+from hearsay.llm.graph import components, hot_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -177,7 +177,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     """(doc_id, node, component_id) of every row of ``docs`` (doc_id, text): texts linked by ``similarity`` or more, at least 0.8."""
     schema = "doc_id long, node long, ring binary, keys array<long>, hashes binary"
     found, _ = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_described(shingle), schema), "rings")
-    nodes, _ = written(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("ring").alias("ring"), F.any_value("keys").alias("keys")), "nodes")
+    nodes, _ = written(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("ring").alias("ring"), F.any_value("keys").alias("keys"), F.count("*").alias("n")), "nodes")
     filed = nodes.select("node", "ring", F.posexplode("keys").alias("chain", "key"))
     large = nodes.select(F.posexplode("keys").alias("chain", "key")).groupBy("chain", "key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     near = components(_dealt(filed, ["chain", "key"], block, _candidates, large))
@@ -188,8 +188,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     linked = components(_dealt(sets, ["component"], set_block, _confirmed(similarity), many))
     groups = linked.union(linked.select(F.col("component").alias("node"), "component").distinct())
     least = groups.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("least"))
-    label = nodes.join(groups.join(least, "component"), "node", "left").select("node", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    return found.select("doc_id", "node").join(label, "node").select("doc_id", "node", "component_id")
+    label, _ = written(nodes.join(groups.join(least, "component"), "node", "left").select("node", "n", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")), "labels")
+    # one text may have very many copies
+    return hot_join(found.select("doc_id", "node"), label, "node", label.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("doc_id", "node", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
