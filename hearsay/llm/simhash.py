@@ -141,7 +141,8 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     members = nodes.select("fp", "rep", filed.alias("at")).select("at.chain", "at.key", "fp", "rep")
     sizes = members.groupBy("chain", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    shared = members.join(sizes, ["chain", "key"]).withColumn("blocks", blocks)
+    # Spark takes the members to be as large as the nodes' file, so without the hint it would broadcast 27 rows a node
+    shared = members.join(sizes.hint("merge"), ["chain", "key"]).withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
     units = shared.withColumn("own", own).withColumn("other", other).select(
@@ -160,7 +161,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = linked.union(linked.select(F.col("component").alias("node"), "component").distinct())
     least = groups.join(nodes, groups.node == nodes.fp).groupBy("component").agg(F.min("rep").alias("least"))
     label = nodes.join(groups.join(least, "component"), nodes.fp == F.col("node"), "left").select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    return found.join(label, "fp").select("doc_id", "fp", "component_id")
+    # the file of many copies is small for its rows, which may not be broadcast either
+    return found.join(label.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from hearsay.llm import simhash
+from hearsay.llm.common import written
 from hearsay.llm.graph import components
 
 DATA = "/root/testdata/sf0.001"
@@ -116,3 +117,19 @@ def test_rows_without_doc_id_link_others(spark):
     rows = [(5, first, None), (None, bridge, None), (2, last, None), (None, "some other words are here", None)]
     found = got(spark, rows)
     assert found == brute(rows) and found[5] == {(f"{fps[first]:016x}", 2)} and (f"{fps[bridge]:016x}", 2) in found[None]
+
+
+def test_broadcasts_neither_keys_nor_rows(spark):
+    # both are far larger than the files that Spark takes their size from
+    rng = random.Random(8)
+    fps = [simhash._signed(rng.getrandbits(64)) for _ in range(3000)]
+    near = [(f ^ 1, k + 3000) for k, f in enumerate(fps[:50])]
+    nodes, _ = written(spark.createDataFrame([(f, k) for k, f in enumerate(fps)] + near, "fp long, rep long"), "nodes")
+    docs = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("a b c d "), F.col("id") % 3).alias("text"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        assert {(min(r), max(r)) for r in simhash.links(nodes).collect()} == {(k, k + 3000) for k in range(50)}
+        found = simhash.near_duplicates(docs)
+        assert found.count() == 60_000 == found.where("component_id is not null").count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
